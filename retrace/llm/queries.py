@@ -51,7 +51,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", F.col("copies.position").alias("positions"))
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,5 +83,5 @@ ORACLE_SQL = {
               FROM (SELECT *, fixed OR target >= 2.0 * source_size AS f FROM r) WHERE step < (SELECT count(*) FROM s)),
         t AS (SELECT source, source_size, target FROM r WHERE step = (SELECT max(step) FROM r)),
         p AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, round(target, 4) AS target, CAST(greatest(0, least(size, CAST(round(target) AS BIGINT) - start)) + greatest(0, least(size, CAST(round(target) AS BIGINT) - start - source_size)) AS BIGINT) AS taken FROM p""",
+        SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(greatest(0, least(size, CAST(round(target) AS BIGINT) - start)) + greatest(0, least(size, CAST(round(target) AS BIGINT) - start - source_size)) AS BIGINT) AS taken FROM p""",
 }
