@@ -18,6 +18,8 @@ BOILERPLATE = re.compile(
     r"\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies|uses? cookies|javascript (?:is )?(?:disabled|required)|"
     r"enable javascript|sign up|sign in|log in|subscribe|newsletter|click here|read more|share this|follow us|powered by|lorem ipsum|back to top|skip to content)\b", re.I)
 SEPARATORS = re.compile(r"(?:^|\s)[|»›·•>/](?=\s|$)")
+#: Words from which a line may have the end of a sentence anywhere instead of at its own end.
+LONG_LINE = 20
 #: Symbols a word, separators a line, share of upper-case words, words of a line from which punctuation is asked for, share of words a document has to keep.
 MOST_SYMBOLS, MOST_SEPARATORS, MOST_UPPER, LEAST_WORDS, LEAST_KEPT = 0.3, 2, 0.6, 4, 0.5
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lines_removed array<struct<line:int,rule:string>>, words_kept long, kept boolean, clean_text string"
@@ -34,7 +36,7 @@ def failing_rule(line: str, words: list[str]) -> str | None:
         return "upper"
     if n < 25 and BOILERPLATE.search(line):
         return "boilerplate"
-    if n >= LEAST_WORDS and not line.rstrip().endswith(ENDS):
+    if n >= LEAST_WORDS and not line.rstrip().endswith(ENDS) and (n < LONG_LINE or not any(w.endswith(ENDS) for w in words)):
         return "punctuation"
     return None
 
