@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from retrace.llm.bpe import bpe_round_trip
 from retrace.llm.exact_dedup import exact_dedup
+from retrace.llm.jaccard_join import near_duplicates
 from retrace.llm.langid import identify, train
 from retrace.llm.mixing import mix
 from retrace.llm.quality import clean_lines
@@ -65,7 +66,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.col("found")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op4_shards, op5_language_id, op7_mix, op8_quality, op9_secrets)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op4_shards, op5_language_id, op7_mix, op8_quality, op9_secrets, op10_jaccard)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
