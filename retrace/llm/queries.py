@@ -13,6 +13,7 @@ from retrace.llm.mixing import mix
 from retrace.llm.quality import clean_lines
 from retrace.llm.secrets import scan_secrets
 from retrace.llm.sharding import byte_shards
+from retrace.llm.suffix_dedup import remove_repeats
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -51,6 +52,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "proportions")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(documents(spark, sf_dir), 400)
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
@@ -70,7 +76,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op4_shards, op5_language_id, op7_mix, op8_quality, op9_secrets, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op4_shards, op5_language_id, op6_suffix_dedup, op7_mix, op8_quality, op9_secrets, op10_jaccard)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
