@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from retrace.llm.bpe import bpe_round_trip
 from retrace.llm.exact_dedup import exact_dedup
+from retrace.llm.html import extract_text
 from retrace.llm.jaccard_join import near_duplicates
 from retrace.llm.langid import identify, train
 from retrace.llm.mixing import mix
@@ -32,6 +33,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe_round_trip(documents(spark, sf_dir), tokenizer_path())
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -76,7 +82,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op4_shards, op5_language_id, op6_suffix_dedup, op7_mix, op8_quality, op9_secrets, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_html, op3_bpe, op4_shards, op5_language_id, op6_suffix_dedup, op7_mix, op8_quality, op9_secrets, op10_jaccard)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
