@@ -313,8 +313,9 @@ def coalesce_valve(spark, sf_dir):
     return C.fold_frames(all_.join(crowded, "frame", "left_semi"), 100).select("frame", "objectType", "objectId", "event", "id", "place")
 
 
-@register("coalesce_atomic_overflow", ", d AS (SELECT strftime(opDay, '%Y-%m-%d') AS frame, count(DISTINCT objectType || objectId) AS n FROM hist GROUP BY 1) SELECT frame, 'more than 20 records in an atomic frame' AS failure FROM d WHERE n > 20")
+@register("coalesce_atomic_overflow", None)
 def coalesce_atomic_overflow(spark, sf_dir):
+    """Frames that hold and stage more than 20 records at once; what is staged follows from the order, so there is no SQL."""
     return C.fold_frames(steps(spark, sf_dir), 20, atomic=True).where("failure IS NOT NULL").select("frame", "failure")
 
 

@@ -146,7 +146,7 @@ def completed_creates(changes: DataFrame) -> DataFrame:
     fills = Window.partitionBy("root", "key", "seq")
     only = F.min(F.coalesce(F.col("old") == "null", F.lit(False)).cast("int")).over(fills) == 1
     belongs = (F.col("statement") == "UPDATE") & F.col("_born").isNotNull() & only
-    marked = marked.withColumn("_belongs", belongs).withColumn("seq", F.when(belongs, F.col("_born")).otherwise(F.col("seq"))).withColumn("statement", F.when(belongs, "INSERT").otherwise(F.col("statement")))
+    marked = marked.withColumn("_belongs", belongs).withColumn("seq", F.when(F.col("_belongs"), F.col("_born")).otherwise(F.col("seq"))).withColumn("statement", F.when(F.col("_belongs"), "INSERT").otherwise(F.col("statement")))
     last = Window.partitionBy("root", "key", "seq", "column").orderBy(F.col("_belongs").desc())
     out = marked.withColumn("_rank", F.row_number().over(last)).where("_rank = 1")
     return out.withColumn("old", F.when(F.col("statement") == "INSERT", F.lit(None)).otherwise(F.col("old"))).drop("_born", "_belongs", "_rank")

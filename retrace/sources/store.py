@@ -83,7 +83,7 @@ class Store:
         """Adds what a table lacks; refuses a changed type. Returns what was found."""
         found = self.schema(table.name)
         difference = compare(table.schema(), found)
-        if difference.missing:
+        if difference.missing or difference.mismatched:
             self.files.write(f"{self.root}/{table.name}/schema.json", added(table.schema(), found).json())
         return difference
 
