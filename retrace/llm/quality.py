@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The symbols that are counted, what ends a sentence, and phrases of boilerplate lines.
+# The symbols that are counted, what ends a sentence, words that separate links, and phrases of boilerplate lines.
 SYMBOLS = b"#*$%&|<>"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
-ENDS = (".", "!", "?", "…", "。", "！", "？", '."', '!"', '?"', ".”", "!”", "?”", ".»", "!»", "?»", ".)", "!)", "?)", ".'", ".’", ":", ";")
+ENDS = re.compile(r"""(?:[.!?…。！？:;]|[.!?]["”»)'’])\Z""")
+SEPARATORS = set("|»›·•>/")
 BOILERPLATE = re.compile(
     r"\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies|uses? cookies|javascript (?:is )?(?:disabled|required)|"
     r"enable javascript|sign up|sign in|log in|subscribe|newsletter|click here|read more|share this|follow us|powered by|lorem ipsum|back to top|skip to content)\b", re.I)
-SEPARATORS = re.compile(r"(?:^|\s)[|»›·•>/](?=\s|$)")
 #: Words from which a line may have the end of a sentence anywhere instead of at its own end.
 LONG_LINE = 20
 #: Symbols a word, separators a line, share of upper-case words, words of a line from which punctuation is asked for, share of words a document has to keep.
@@ -30,13 +30,13 @@ def failing_rule(line: str, words: list[str]) -> str | None:
     n = len(words)
     if sum(line.count(c) for c in "#*$%&<>") > MOST_SYMBOLS * n:
         return "symbols"
-    if len(SEPARATORS.findall(line)) > MOST_SEPARATORS:
+    if sum(1 for w in words if w in SEPARATORS) > MOST_SEPARATORS:
         return "navigation"
     if n >= LEAST_WORDS and sum(1 for w in words if len(w) > 1 and w.isupper()) > MOST_UPPER * n:
         return "upper"
     if n < 25 and BOILERPLATE.search(line):
         return "boilerplate"
-    if n >= LEAST_WORDS and not line.rstrip().endswith(ENDS) and (n < LONG_LINE or not any(w.endswith(ENDS) for w in words)):
+    if n >= LEAST_WORDS and not ENDS.search(words[-1]) and (n < LONG_LINE or not any(map(ENDS.search, words))):
         return "punctuation"
     return None
 

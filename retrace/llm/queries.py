@@ -101,4 +101,28 @@ ORACLE_SQL = {
         t AS (SELECT source, source_size, target FROM r WHERE step = (SELECT max(step) FROM r)),
         p AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(greatest(0, least(size, CAST(round(target) AS BIGINT) - start)) + greatest(0, least(size, CAST(round(target) AS BIGINT) - start - source_size)) AS BIGINT) AS taken FROM p""",
+    "op8_quality": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        tokens AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d WHERE len(w) > 0),
+        windows AS (SELECT doc_id, i, CASE WHEN i + 2 <= len(w) THEN w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] END AS g FROM tokens),
+        found AS (SELECT doc_id, i, CASE WHEN g IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g) > 1 THEN 1 ELSE 0 END AS twice FROM windows),
+        repeats AS (SELECT doc_id, CAST(sum(m) AS BIGINT) AS n FROM (SELECT doc_id, max(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m FROM found) GROUP BY 1),
+        lines AS (SELECT doc_id, l, i, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, l ORDER BY i) > 1 AS again, len(w) AS n FROM lines WHERE len(w) > 0),
+        judged AS (SELECT doc_id, n, again,
+            length(regexp_replace(l, '[^#*$%&<>]', '', 'g')) > 0.3 * n
+            OR len(list_filter(w, lambda x: x IN ('|', '»', '›', '·', '•', '>', '/'))) > 2
+            OR (n >= 4 AND len(list_filter(w, lambda x: length(x) > 1 AND upper(x) = x AND lower(x) <> x)) > 0.6 * n)
+            OR (n < 25 AND regexp_matches(l, '(?i)\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies|uses? cookies|javascript (?:is )?(?:disabled|required)|enable javascript|sign up|sign in|log in|subscribe|newsletter|click here|read more|share this|follow us|powered by|lorem ipsum|back to top|skip to content)\b'))
+            OR (n >= 4 AND NOT regexp_matches(w[-1], $e$(?:[.!?…。！？:;]|[.!?]["”»)'’])$$e$) AND (n < 20 OR len(list_filter(w, lambda x: regexp_matches(x, $e$(?:[.!?…。！？:;]|[.!?]["”»)'’])$$e$))) = 0)) AS fails FROM numbered),
+        kept AS (SELECT doc_id, sum(CASE WHEN again THEN 1 ELSE 0 END) AS twice, sum(CASE WHEN again OR fails THEN 0 ELSE n END) AS stays FROM judged GROUP BY 1),
+        base AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(t) - length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(k.twice, 0) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(stays, 0) AS stays FROM d LEFT JOIN repeats r USING (doc_id) LEFT JOIN kept k USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND stays >= 0.5 * n_words AS kept FROM base""",
+    "op10_jaccard": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, list_aggregate(w[i : i + 3], 'string_agg', ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id GROUP BY 1, 2, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+        r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id)
+        SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id""",
 }
