@@ -9,6 +9,7 @@ from retrace.llm import queries
 from retrace.llm.bpe import bpe_round_trip
 from retrace.llm.common import Scratch
 from retrace.llm.exact_dedup import exact_dedup
+from retrace.llm.jaccard_join import near_duplicates
 from retrace.llm.langid import identify, train
 from retrace.llm.mixing import mixed_documents
 
@@ -16,31 +17,34 @@ from retrace.llm.mixing import mixed_documents
 LEAST_SCORE = 0.5
 #: Near duplicates: words of a shingle, and the similarity in percent.
 WORDS, PERCENT = 5, 80
+PLACE = "_place_in_the_table"
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids``, with the columns of ``docs``."""
-    wanted = ids.select(F.col("doc_id").alias("kept_doc_id"))
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["kept_doc_id"]), "left_semi")
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the place of each row, by which a stage says what stays; every stage reads a stored table."""
+    return docs.withColumn(PLACE, F.monotonically_increasing_id())
+
+
+def keep_rows(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose place is among ``places``, with the columns of ``docs``."""
+    return placed(docs).join(places.toDF(PLACE), PLACE, "left_semi").select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a language (no letters), or of which none makes up half, go."""
     model = train(docs.where(~queries.held_out(F.col("doc_id"))))
-    found = identify(docs, model)
-    return keep_rows(docs, found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)))
+    found = identify(placed(docs), model, id_col=PLACE)
+    return keep_rows(docs, found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of equal texts the row with the largest doc_id stays."""
-    return keep_rows(docs, exact_dedup(docs).where("kept"))
+    return keep_rows(docs, exact_dedup(docs).where("kept").select("tie"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of near duplicates the document with the smallest doc_id stays."""
-    from retrace.llm.jaccard_join import near_duplicates
-
-    return keep_rows(docs, near_duplicates(docs, words=WORDS, percent=PERCENT).where("doc_id = component_id"))
+    return keep_rows(docs, near_duplicates(docs, words=WORDS, percent=PERCENT).where("kept").select("tie"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

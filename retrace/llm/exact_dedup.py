@@ -21,7 +21,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts back has plain exchanges on both sides, which AQE splits where a group is hot. The state
     between levels is a table in the shared folder: only rows of open groups, with the bytes not yet read.
 
-    Returns one row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``. The row with the
+    Returns one row per input row: ``doc_id, keep_id, group_size, kept, text_sha256, tie``; tie is the row's place in the input. The row with the
     largest doc_id stays. A null text counts as empty; empty texts are one group. A null doc_id is below
     every other. Rows that repeat both doc_id and text are separate rows of one group, of which one is
     kept. An empty table gives an empty result. Texts of any length are read to their end.
@@ -29,13 +29,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.cast("binary").alias("bytes"))
-    rows = rows.select("doc_id", F.sha2("bytes", 256).alias("text_sha256"), F.lit(0).cast("long").alias("gid"), F.col("bytes").alias("rest"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.cast("binary").alias("bytes"), F.monotonically_increasing_id().alias("tie"))
+    rows = rows.select("doc_id", F.sha2("bytes", 256).alias("text_sha256"), F.lit(0).cast("long").alias("gid"), F.col("bytes").alias("rest"), "tie")
     level, width, done = 0, first_digit, []
     while True:
         table = scratch.keep(_level(rows, level, width), f"level{level}")
-        done.append(table.where("closed").select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
-        rows = table.where("NOT closed").select("doc_id", "text_sha256", F.col("next_gid").alias("gid"), "rest", "rid")
+        done.append(table.where("closed").select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "tie"))
+        rows = table.where("NOT closed").select("doc_id", "text_sha256", F.col("next_gid").alias("gid"), "rest", "rid", "tie")
         if rows.isEmpty():
             break
         level, width = level + 1, width * wider
@@ -59,6 +59,6 @@ def _level(rows: DataFrame, level: int, width: int) -> DataFrame:
     kept = alone if level == 0 else F.col("rid") == F.col("top.label")
     joined = rows.withColumn("key", key).join(counts, "key").withColumn("ended", F.col("key.ended")).withColumn("closed", closed)
     return joined.select(
-        "doc_id", "text_sha256", "closed", F.when(F.col("closed"), F.col("top.doc_id")).alias("keep_id"), F.when(F.col("closed"), F.col("group_size")).alias("group_size"),
+        "doc_id", "text_sha256", "tie", "closed", F.when(F.col("closed"), F.col("top.doc_id")).alias("keep_id"), F.when(F.col("closed"), F.col("group_size")).alias("group_size"),
         F.when(F.col("closed"), kept).alias("kept"), "next_gid", F.expr(f"CASE WHEN NOT closed THEN substring(rest, {width + 1}) END").alias("rest"),
         (F.monotonically_increasing_id() if level == 0 else F.col("rid")).alias("rid"))

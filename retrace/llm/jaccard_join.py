@@ -127,7 +127,7 @@ def folded(data: bytes, size: int) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id``: documents linked by 100 * intersection >= percent * union of their shingles.
+    """``doc_id, n_shingles, component_id, kept, tie``: documents linked by 100 * intersection >= percent * union of their shingles.
 
     1. Every text becomes its set of shingles (``words`` words, A-Z lower-cased) and a 64-bit name of the
        set. Copies share a name and are one node from here on.
@@ -140,8 +140,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
        verified too. So no link between different texts is lost, and none inside a component is repeated.
 
     Texts without words, or null, are linked with nothing and are their own component. component_id is
-    the smallest doc_id of the component; null ids count as above all. Rows that repeat a text link by
-    it. ``docs`` has to be a stored table: rows are named by their place in it, in two reads. Shingles
+    the smallest doc_id of the component; null ids count as above all. kept marks one row of each component,
+    of that id and the first of its rows; tie is a row's place in the table. Rows that repeat a text link by it. ``docs`` has to be a stored table: rows are named by their place in it, in two reads. Shingles
     are 52-bit hashes; names and keys 64-bit ones, and what they suggest is verified.
     """
     spark = docs.sparkSession
@@ -167,12 +167,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
     roots = connected_components(links.unionByName(more), scratch, "second")
     scratch.drop("shared", "members", "links", "more")
 
-    full = named.where("n > 0").select("doc_id", "n", F.struct("node").alias("at"))
-    full = full.join(roots.select(F.struct("node").alias("at"), "root"), "at", "left").select("doc_id", "n", F.struct(F.coalesce("root", "at.node").alias("root")).alias("at"))
+    full = named.where("n > 0").select("doc_id", "tie", "n", F.struct("node").alias("at"))
+    full = full.join(roots.select(F.struct("node").alias("at"), "root"), "at", "left").select("doc_id", "tie", "n", F.struct(F.coalesce("root", "at.node").alias("root")).alias("at"))
     full = scratch.keep(full, "rooted")
-    least = full.groupBy("at.root").agg(F.min("doc_id").alias("component_id")).select(F.struct("root").alias("at"), "component_id")
-    out = full.join(least, "at").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(named.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie"))
+    least = full.groupBy("at.root").agg(first.alias("first")).select(F.struct("root").alias("at"), "first")
+    out = full.join(least, "at").select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("tie") == F.col("first.tie")).alias("kept"), "tie")
+    return out.unionByName(named.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "tie"))
 
 
 def _shared_keys(texts: DataFrame, words: int, bands: Bands) -> DataFrame:

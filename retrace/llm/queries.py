@@ -30,7 +30,7 @@ def tokenizer_path() -> str:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(documents(spark, sf_dir))
+    return exact_dedup(documents(spark, sf_dir)).drop("tie")
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_html, op3_bpe, op4_shards, op5_language_id, op6_suffix_dedup, op7_mix, op8_quality, op9_secrets, op10_jaccard)}

@@ -10,7 +10,13 @@ from retrace.llm import queries
 from tests.llm.test_operators import components, texts
 
 
-def test_stages(spark, sf):
+def _repeated(spark, path):
+    """A row three times over, and another with no id."""
+    spark.createDataFrame([(1, "same text")] * 3 + [(None, "other")], "doc_id long, text string").write.parquet(f"{path}/repeated")
+    return f"{path}/repeated"
+
+
+def test_stages(spark, sf, tmp_path):
     docs = queries.documents(spark, sf)
     kept = pipeline.language(spark, docs, sf)
     assert kept.columns == docs.columns
@@ -21,6 +27,7 @@ def test_stages(spark, sf):
         t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
         lowered[t] = max(lowered.get(t, -1), i)
     assert sorted(i for i, _ in texts(once)) == sorted(lowered.values()) and once.columns == docs.columns
+    assert pipeline.exact(spark, spark.read.parquet(_repeated(spark, tmp_path)), sf).count() == 2
     apart = pipeline.near(spark, docs, sf)
     assert sorted(i for i, _ in texts(apart)) == sorted(i for i, _, c in components(texts(docs), 5, 80) if i == c)
     mixed = pipeline.mixture(spark, docs, sf)
