@@ -121,3 +121,13 @@ def net_links(steps: DataFrame) -> DataFrame:
     first = present.withColumn("_first", F.first("_before").over(per)).groupBy("association", "owner", "flush", "target").agg(F.min_by("_before", "seq").alias("before"), F.max_by(F.col("kind") == "add", "seq").alias("after"), F.min("seq").alias("since"))
     moved = first.where("before <> after")
     return moved.groupBy("association", "owner", "flush").agg(F.min("since").alias("since"), F.array_sort(F.collect_list(F.when(F.col("before"), F.col("target")))).alias("old"), F.array_sort(F.collect_list(F.when(F.col("after"), F.col("target")))).alias("new"))
+
+
+def holders(rows: DataFrame, targets: DataFrame, association: str) -> DataFrame:
+    """Owners that hold any of the targets: a semi-join of the association's rows (owner, target)."""
+    return rows.join(targets.select("target").distinct(), "target", "left_semi").select(F.lit(association).alias("association"), "owner", "target")
+
+
+def departed(before: DataFrame, observed: DataFrame) -> DataFrame:
+    """Links (association, owner, target) that an observation right after a DELETE no longer shows."""
+    return before.join(observed.select("association", "owner", "target"), ["association", "owner", "target"], "left_anti")

@@ -150,10 +150,6 @@ class Reader:
             rows = decorate(rows)
         return rows
 
-    def token_of(self, page: Page) -> str | None:
-        """The token that continues the caller's query: its fingerprint is that after extensions."""
-        return page.next_token
-
     def iterate(self, query: HistoryQuery, batch: int = 500) -> Iterator[Row]:
         """All rows in order, from one snapshot: the plan is fixed now, and files added later are not read.
 

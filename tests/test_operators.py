@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from retrace.errors import FrameOverflow, InvalidDeclaration
 from retrace.functions import sqlshape
 from retrace.functions import values as V
-from retrace.operators import coalesce, links, replay, txlog, write
+from retrace.errors import InvalidRecord
+from retrace.operators import coalesce, drafts, failures, links, replay, txlog, write
 from retrace.operators.redact import Rules, leaks, redact
 
 CHANGE = "struct<pair:boolean,old:string,new:string,raw:string>"
@@ -246,3 +247,36 @@ def test_redaction(spark):
     assert redact(record(spark, objectType="cart", changes=changes), Rules(("order.card",))).first()["changes"]["card"]["old"] == '"4111"'
     with pytest.raises(InvalidDeclaration):
         Rules(("a.b.c",))
+
+
+def test_drafts(spark):
+    pair = lambda o, n: (True, o, n, None)
+    records = spark.createDataFrame([("order", "1", 7, "update", 3, {"status": pair("a", "b")}), ("order", "2", 7, "remove", 9, {})], f"objectType string, objectId string, flush long, event string, seq long, changes map<string,{CHANGE}>")
+    elements = spark.createDataFrame([("order", "1", 7, 2, "lines.1.qty", "1", "2"), ("order", "1", 7, 4, "lines.1.qty", "2", "3"), ("order", "2", 7, 5, "lines.2.qty", "1", "2"), ("order", "3", 8, 6, "lines.3.qty", "1", "2"), ("order", "3", None, 8, "x", "1", "2")], "objectType string, objectId string, flush long, seq long, name string, old string, new string")
+    runs = spark.createDataFrame([("tags", "1", 7, 5, 0, ["a"], ["a", "b"], None)], "association string, owner string, flush long, since long, run int, old array<string>, new array<string>, doubt string")
+    out = drafts.drafts(records, drafts.element_runs(elements), drafts.link_changes(runs, "order", "tags")).orderBy("since")
+    assert [(r["objectId"], r["event"], r["since"], sorted(r["changes"])) for r in out.collect()] == [("1", "update", 2, ["lines.1.qty", "status", "tags"]), ("1", "update", 4, ["lines.1.qty"]), ("3", "update", 6, ["lines.3.qty"]), ("2", "remove", 9, [])]
+
+
+def test_context_as_of(spark):
+    records = spark.createDataFrame([("oven", "1", 5, {"site": (True, "1", "2", None)}), ("oven", "1", 9, {})], f"objectType string, objectId string, seq long, changes map<string,{CHANGE}>")
+    images = spark.createDataFrame([("oven", "1", 1, 5, {"label": "old"}), ("oven", "1", 5, None, {"label": "now"})], "root string, key string, valid_from long, valid_to long, row map<string,string>")
+    out = drafts.with_context(records, images, {"oven": ["label"]}).orderBy("seq").collect()
+    assert out[0]["changes"]["label"].asDict() == {"pair": True, "old": "now", "new": "now", "raw": None} and out[1]["changes"] == {}
+
+
+def test_holders(spark):
+    rows = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "a")], "owner string, target string")
+    held = links.holders(rows, spark.createDataFrame([("a",)], "target string"), "tags")
+    assert sorted(r["owner"] for r in held.collect()) == ["1", "3"]
+    still = spark.createDataFrame([("tags", "3", "a")], "association string, owner string, target string")
+    assert [r["owner"] for r in links.departed(held, still).collect()] == ["1"]
+
+
+def test_failures(spark):
+    bad = spark.createDataFrame([("no event",), ("no event",)], "reason string")
+    assert failures.report(bad) == {"no event": 2}
+    with pytest.raises(InvalidRecord):
+        failures.report(bad, "throw")
+    error = ValueError("can't reach https://me:pw@host with 'secret'")
+    assert "pw" not in failures.safe_message(error, "full") and "secret" not in failures.safe_message(error) and failures.safe_message(error, "none") == "ValueError"

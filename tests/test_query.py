@@ -76,12 +76,12 @@ def test_refusals(bad):
         bad()
 
 
-def test_cursor_belongs_to_its_search():
+def test_cursor_belongs_to_its_search(reader):
     token = Cursor(("2024-01-01 00:00:00", "001", "audit_log"), Q.for_("order").fingerprint()).token()
     assert Q.for_("order").take(7).after(token).limit == 7
     for other in (Q.for_("cart"), Q.for_("order").with_events("create"), Q.for_("order").oldest_first(), Q.for_("order").with_option("v", 1)):
         with pytest.raises(InvalidQuery):
-            other.after(token)
+            reader.find(other.after(token))
     assert Q.for_("order").after(token).with_events("create").cursor is None
     assert Q.for_("order").page(3, 5).fingerprint() == Q.for_("order").fingerprint()
 
@@ -125,6 +125,8 @@ def test_extension_applies_everywhere(records):
     old = Reader({"audit_log": records}).find(Q.any().take(3)).next_token
     with pytest.raises(InvalidQuery):
         r.find(Q.any().take(3).after(old))
+    first = r.find(Q.any().take(3))
+    assert len(first.hits) == 3 and not {x["seq"] for x in r.find(Q.any().take(3).after(first.next_token)).hits} & {x["seq"] for x in first.hits}
 
 
 @pytest.mark.parametrize("body", [{"runtime_mappings": {}}, {"aggs": []}, {"aggs": {"x": {"global": {}}}}, {"aggs": {"x": {"terms": {"field": "event"}, "aggs": {"y": {"children": {}}}}}}, {"from": 1, "search_after": ["a"]}, {"size": 5000}, {"from": 9999, "size": 10}, {"highlight": {}}, {"aggs": {"x": {"inference": {}}}}])
