@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
         edges = scratch.keep(_star(both, F.col("b") > F.col("a")), f"{name}{step}large")
         small = scratch.keep(_star(edges, F.lit(True)), f"{name}{step}small")
         scratch.drop(f"{name}{step}large", f"{name}{step}")
-        now = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003), F.sum("b")).first()
+        now = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003), F.sum(F.xxhash64("b", "a") % 999983)).first()
         if now == mark:
             return small.select(F.col("a").alias("node"), F.col("b").alias("root"))
         step, mark = step + 1, now
