@@ -280,3 +280,23 @@ def test_failures(spark):
         failures.report(bad, "throw")
     error = ValueError("can't reach https://me:pw@host with 'secret'")
     assert "pw" not in failures.safe_message(error, "full") and "secret" not in failures.safe_message(error) and failures.safe_message(error, "none") == "ValueError"
+
+
+def test_frame(spark):
+    from retrace.operators.frame import CoalescingFrame
+
+    steps = spark.createDataFrame([r[1:] for r in [("f", "order", "1", "create", "x", "a", datetime(2024, 1, 1), 1, {"v": (True, "null", "1", None)}, {}), ("f", "order", "1", "update", "x", "b", datetime(2024, 1, 1), 2, {"v": (True, "1", "2", None)}, {})]], STEPS.replace("frame string, ", ""))
+    written: list = []
+    frame_ = CoalescingFrame(lambda df: written.append([(r["id"], r["event"]) for r in df.collect()]), max_held=0)
+    with frame_():
+        with frame_():
+            frame_.record(steps.where("seq = 1"))
+        frame_.record(steps.where("seq = 2"))
+        assert written == []
+    frame_.record(steps)
+    assert written == [[("a", "create")], [("a", "create"), ("b", "update")]]
+    with pytest.raises(FrameOverflow), frame_(atomic=True):
+        frame_.record(steps)
+    with pytest.raises(InvalidDeclaration), frame_():
+        frame_.begin(atomic=True)
+    assert len(written) == 2 and frame_.depth == 0
