@@ -20,6 +20,8 @@ BYTES_AT_ONCE, DOCS_AT_ONCE, KEYS_AT_ONCE = 2_000_000, 2048, 400_000
 BLOCK = 2048
 #: From so many members in one deal, a key is known to be shared and only one of them goes to be counted.
 HOT = 64
+#: Places of a sketch, of the form that goes along with keys, and of the one by which most pairs are told apart first.
+BITS, FOLDED, COARSE = 1 << 15, 1 << 12, 1 << 10
 
 
 class Bands:
@@ -112,18 +114,50 @@ def block_keys(codes: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.
 
 
 def sketch(codes: np.ndarray) -> bytes:
-    """The parity sketch of a set: twice as many bits as elements, a power of two from 1024 to 32768."""
-    bits = min(1 << 15, max(1 << 10, 1 << (2 * len(codes) - 1).bit_length()))
-    flips = np.bincount((codes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+    """The parity sketch of a set: BITS places, each flipped by every element there.
 
+    Kept as the list of the places that are set, or as bits where these are shorter.
+    """
+    odd = odd_places((codes & np.uint64(BITS - 1)).astype(np.uint16))
+    if 16 * len(odd) < BITS:
+        return b"S" + odd.tobytes()
+    flips = np.zeros(BITS, np.uint8)
+    flips[odd] = 1
+    return b"D" + np.packbits(flips, bitorder="little").tobytes()
 
-def folded(data: bytes, size: int) -> np.ndarray:
-    """A sketch of fewer bits: halves are XORed, as places are the trailing bits of an element."""
-    out = np.frombuffer(data, np.uint64)
-    while len(out) * 8 > size:
-        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
-    return out
+
+def odd_places(places: np.ndarray) -> np.ndarray:
+    """Places that come up an odd number of times, in order."""
+    places = np.sort(places)
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(places)), bool), places[1:] != places[:-1])))
+    return places[first][np.diff(np.append(first, len(places))) & 1 == 1]
+
+
+def thin(data: bytes) -> bytes:
+    """A sketch as it goes along with every key: as it is if it is short, else folded to FOLDED bits."""
+    if data[:1] == b"S" and len(data) <= FOLDED // 8 + 1:
+        return data
+    flips = np.bincount(set_places(data) & np.uint16(FOLDED - 1), minlength=FOLDED) & 1
+    return b"F" + np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def set_places(data: bytes) -> np.ndarray:
+    """The places that are set in a sketch, in order."""
+    if data[:1] == b"S":
+        return np.frombuffer(data, np.uint16, offset=1)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1), bitorder="little")).astype(np.uint16)
+
+
+def coarse(data: bytes) -> np.ndarray:
+    """A sketch folded to COARSE bits: places are the trailing bits of an element, so parities add up."""
+    flips = np.bincount(set_places(data) & np.uint16(COARSE - 1), minlength=COARSE) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Hamming distance of two sketches by their set places."""
+    both = np.sort(np.concatenate((a, b)), kind="stable")
+    return len(both) - 2 * int((both[1:] == both[:-1]).sum())
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,13 +193,20 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
 
     named = scratch.keep(source.mapInArrow(name_sets, f"doc_id {id_type}, tie long, node long, n long"), "named")
     shared = scratch.keep(_shared_keys(source.select("text"), words, bands), "shared")
-    members = scratch.keep(_candidate_sets(source, named, shared, words), "members")
-    pairs = shared.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    links = scratch.keep(_verified(pairs, members, percent, "a < b"), "links")
+    # every later join with it is by node, so it is dealt out by node once, in a bucketed table of the shared warehouse
+    members = scratch.keep_bucketed(_candidate_sets(source, named, shared, words), "members", "node", partitions_for(docs))
+    scratch.release()
+    pairs = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    links = scratch.keep(_verified(pairs, members, percent), "links")
+    scratch.release()
     roots = connected_components(links, scratch, "first")
-    more = scratch.keep(_verified(_across(shared, roots, members, percent), members, percent, "a < b"), "more")
+    across = scratch.keep(_across(shared, roots, members, percent), "across")
+    scratch.release()
+    more = scratch.keep(_verified(across, members, percent), "more")
     roots = connected_components(links.unionByName(more), scratch, "second")
-    scratch.drop("shared", "members", "links", "more")
+    scratch.drop("shared", "links", "more", "across")
+    scratch.drop_bucketed("members")
+    scratch.release()
 
     full = named.where("n > 0").select("doc_id", "tie", "n", F.struct("node").alias("at"))
     full = full.join(roots.select(F.struct("node").alias("at"), "root"), "at", "left").select("doc_id", "tie", "n", F.struct(F.coalesce("root", "at.node").alias("root")).alias("at"))
@@ -274,7 +315,7 @@ def _shared_keys(texts: DataFrame, words: int, bands: Bands) -> DataFrame:
 
 
 def _candidate_sets(source: DataFrame, named: DataFrame, shared: DataFrame, words: int) -> DataFrame:
-    """``node, n, sketch, codes`` of every node that shares a key, from one document of each."""
+    """``node, n, sketch, thin, codes`` of every node that shares a key, from one document of each."""
     chosen = named.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("tie").alias("tie"))
     texts = source.select("tie", "text").join(chosen, "tie").select("node", "text")
 
@@ -286,24 +327,28 @@ def _candidate_sets(source: DataFrame, named: DataFrame, shared: DataFrame, word
                 if (nodes_of(codes, counts).view(np.int64) != nodes.to_numpy(zero_copy_only=False)).any():
                     raise RuntimeError("the documents changed between two reads: near_duplicates needs a stored table")
                 sets = np.split(codes, np.cumsum(counts)[:-1])
-                yield pa.RecordBatch.from_arrays([nodes, pa.array(counts.astype(np.int64)), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "sketch", "codes"])
+                sketches = [sketch(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([nodes, pa.array(counts.astype(np.int64)), pa.array(sketches, pa.binary()), pa.array([thin(s) for s in sketches], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "sketch", "thin", "codes"])
 
-    return texts.mapInArrow(build, "node long, n long, sketch binary, codes binary")
+    return texts.mapInArrow(build, "node long, n long, sketch binary, thin binary, codes binary")
 
 
 def _most_apart(na: int, nb: int, percent: int) -> int:
     return (100 - percent) * (na + nb) // (100 + percent)
 
 
-def _verified(pairs: DataFrame, members: DataFrame, percent: int, where: str) -> DataFrame:
-    """The pairs ``a, b`` that link. Sizes and sketches first, then the sets of those that are left."""
+def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that link. Sizes and sketches first, then the sets of those that are left.
+
+    ``a`` is the leader of a group, so it may be hot: that join shuffles both sides, which AQE can split. The join by ``b`` reads the
+    members as they are bucketed.
+    """
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for i, (na, nb, sa, sb) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(2, 6)])):
-                size = min(len(sa), len(sb))
-                if 100 * min(na, nb) >= percent * max(na, nb) and int(np.bitwise_count(folded(sa, size) ^ folded(sb, size)).sum()) <= _most_apart(na, nb, percent):
+                if 100 * min(na, nb) >= percent * max(na, nb) and apart(set_places(sa), set_places(sb)) <= _most_apart(na, nb, percent):
                     keep.append(i)
             if keep:
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep)) for c in (0, 1)], ["a", "b"])
@@ -323,9 +368,13 @@ def _verified(pairs: DataFrame, members: DataFrame, percent: int, where: str) ->
     def side(*columns: str, to: str) -> DataFrame:
         return members.select(F.col("node").alias(to), *[F.col(c).alias(f"{c}_{to}") for c in columns])
 
-    near = pairs.where(where).join(side("n", "sketch", to="a"), "a").join(side("n", "sketch", to="b"), "b")
+    def by_leader(rows: DataFrame, *columns: str) -> DataFrame:
+        known = members.select(F.struct("node").alias("at"), *[F.col(c).alias(f"{c}_a") for c in columns])
+        return rows.withColumn("at", F.struct(F.col("a").alias("node"))).join(known, "at").drop("at")
+
+    near = by_leader(pairs, "n", "sketch").join(side("n", "sketch", to="b"), "b")
     near = near.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(bounded, "a long, b long")
-    sets = near.join(side("codes", to="a"), "a").join(side("codes", to="b"), "b")
+    sets = by_leader(near, "codes").join(side("codes", to="b"), "b")
     return sets.select("a", "b", "codes_a", "codes_b").mapInArrow(exact, "a long, b long")
 
 
@@ -342,7 +391,7 @@ def _across(shared: DataFrame, roots: DataFrame, members: DataFrame, percent: in
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("own", own).withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "leader", "root")
-    rows = rows.distinct().join(members.select("node", "n", "sketch"), "node")
+    rows = rows.distinct().join(members.select("node", "n", F.col("thin").alias("sketch")), "node")
     # bucket is a hash of the whole group, so that one key's groups spread
     parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "own", "node", "leader", "root", "n", "sketch")
@@ -372,18 +421,21 @@ def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
 def _passing(rows: list[tuple], i: int, j: int, percent: int) -> Iterator[tuple[int, int]]:
     """Pairs of one group of a key: of different components, not with their leader, within the bound."""
     own, node, leader, root, n = (np.array(x, np.int64) for x in list(zip(*rows))[3:8])
-    size = min(len(r[8]) for r in rows)
-    bits = np.stack([folded(r[8], size) for r in rows])
     names, index, count = np.unique(root, return_inverse=True, return_counts=True)
     if len(names) < 2:
         return
     largest = index == count.argmax()
+    bits, places = np.stack([coarse(r[8]) for r in rows]), [set_places(r[8]) for r in rows]
+    if any(r[8][:1] == b"F" for r in rows):
+        places = [odd_places(p & np.uint16(FOLDED - 1)) for p in places]
     # members of the largest component meet the others from the others' side
     for x in np.flatnonzero(~largest).tolist():
         later = np.arange(len(rows)) > x
         use = np.flatnonzero((root != root[x]) & (largest | later) & ((own[x] != own) | (i == j)) & (node != leader[x]) & (node[x] != leader))
         use = use[100 * np.minimum(n[use], n[x]) >= percent * np.maximum(n[use], n[x])]
         if len(use):
-            apart = np.bitwise_count(bits[use] ^ bits[x]).sum(1, dtype=np.int64)
-            for y in use[apart <= (100 - percent) * (n[use] + n[x]) // (100 + percent)].tolist():
-                yield int(node[x]), int(node[y])
+            most = (100 - percent) * (n[use] + n[x]) // (100 + percent)
+            near = np.bitwise_count(bits[use] ^ bits[x]).sum(1, dtype=np.int64) <= most
+            for y, bound in zip(use[near].tolist(), most[near].tolist()):
+                if apart(places[x], places[y]) <= bound:
+                    yield int(node[x]), int(node[y])
