@@ -308,9 +308,7 @@ def coalesce_types(spark, sf_dir):
 @register("coalesce_valve", None)
 def coalesce_valve(spark, sf_dir):
     """Frames with more than 100 objects by the fold, the others by windows."""
-    all_ = steps(spark, sf_dir)
-    crowded = C.crowded_frames(all_, 100)
-    return C.fold_frames(all_.join(crowded, "frame", "left_semi"), 100).select("frame", "objectType", "objectId", "event", "id", "place")
+    return C.coalesce_valved(steps(spark, sf_dir), 100)
 
 
 @register("coalesce_atomic_overflow", None)

@@ -179,6 +179,20 @@ def fold_frames(steps: DataFrame, max_held: int = MAX_HELD, atomic: bool = False
     return rows.groupBy("frame").applyInPandas(run, FOLDED)
 
 
+def coalesce_valved(steps: DataFrame, max_held: int = MAX_HELD) -> DataFrame:
+    """``frame, objectType, objectId, event, id, place`` of every frame: the crowded ones by the fold, all others by windows.
+
+    place counts the records of a frame as it releases them, from 0.
+    """
+    crowded = crowded_frames(steps, max_held).select(F.col("frame").alias("crowded"))
+    kind = F.col("frame").eqNullSafe(F.col("crowded"))
+    folded = fold_frames(steps.join(crowded, kind, "left_semi"), max_held)
+    others = coalesce_records(steps.join(crowded, kind, "left_anti"))
+    others = others.withColumn("place", F.row_number().over(Window.partitionBy("frame").orderBy("place")).cast("long") - 1)
+    columns = ["frame", "objectType", "objectId", "event", "id", "place"]
+    return folded.select(*columns).unionByName(others.withColumn("frame", F.col("frame").cast("string")).select(*columns))
+
+
 def model(steps: Sequence[dict]) -> Iterator[dict]:
     """The rules without a valve, for one frame; used to hold the set-based form against."""
     yield from fold(steps, 1 << 60)

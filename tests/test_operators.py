@@ -71,6 +71,18 @@ def test_fold_frames(spark):
     assert {r["frame"] for r in coalesce.crowded_frames(df, 2).collect()} == {f"f{s}" for s in range(4) if len({r[2] for r in frame(s)}) > 2}
 
 
+@pytest.mark.parametrize("held", [1, 2, 3, 9])
+def test_coalesce_valved(spark, held):
+    """Crowded frames and others side by side: every frame gives what its own fold gives."""
+    frames = {f"f{seed}": frame(seed, f"f{seed}") for seed in range(12)}
+    df = spark.createDataFrame([r for rows in frames.values() for r in rows], STEPS)
+    got: dict = {}
+    for r in coalesce.coalesce_valved(df, held).orderBy("frame", "place").collect():
+        got.setdefault(r["frame"], []).append((r["id"], r["event"], r["place"]))
+    for name, rows in frames.items():
+        assert got.get(name, []) == [(r["id"], r["event"], i) for i, r in enumerate(coalesce.fold(plain(rows), held))], name
+
+
 def test_numbers(spark):
     cases = {"1": "1", "1.0": "1", '"-0.50"': "-0.5", "1e2": "100", "12.5e-1": "1.25", "null": "0", '"-"': "0", '""': "0", '"abc"': None, "-0": "0", "00012": "12", ".5": "0.5", "5.": "5", "1e5000": None, "12345678901234567890.10": "12345678901234567890.1"}
     rows = spark.createDataFrame([(k,) for k in cases], "v string").select("v", V.canonical_number(F.col("v")).alias("n")).collect()
