@@ -155,8 +155,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     2. A longest common subsequence of the two pages' lines is what they share; shared lines go.
     3. A guard keeps differencing right where pages have markup: what menus, headers, footers, asides, forms,
        adverts and comments contain goes without a partner as well, and lines inside an article
-       element stay even if the neighbour carries the same article or passage. If a page has no article element,
-       its lines are decided by steps 1 and 2 alone.
+       element stay even if the neighbour carries the same article or passage. All other lines are decided by
+       steps 1 and 2 alone, on pages with an article element as on pages without one: an article element may
+       wrap a teaser only, and the text stand beside it.
 
     Pairing looks at urls and line hashes only; page text is shuffled once, with the lines to delete.
     Null html or no lines left: empty text. A null url is its own host, so those pages pair with each other.
@@ -189,12 +190,11 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             for page, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 blocks = blocks_of(page or "")
                 left, kinds, at = [], [], 0
-                with_article = any(place == 2 for _, place in blocks)
                 drop = set(gone or ())
                 for text, place in blocks:
                     fate = "article" if place == 2 else "markup"
                     if place == 1:
-                        fate = "shared" if at in drop else "outside" if with_article else "own"
+                        fate = "shared" if at in drop else "own"
                         at += 1
                     if fate in ("article", "own"):
                         left.append(text)

@@ -293,6 +293,15 @@ def test_html(spark, tmp_path):
     assert out == {1: "First text & more.\n\nSecond text", 2: "Other text.", 3: "T\n\na b\n\nc", 4: "T\n\na b", 5: "", 6: "", 7: "x"}
 
 
+def test_html_beside_article(spark, tmp_path):
+    """Lines outside an article element are decided by differencing: shared ones go, the page's own stay."""
+    shared = "<div>Site menu of the day</div>"
+    pages = [(i, f"http://h/a/{i}", f"<body>{shared}<article><p>Teaser {i}</p></article><div>Body text of page {i} stands in a div.</div></body>") for i in range(3)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.mode("overwrite").parquet(str(tmp_path))
+    out = {r["page_id"]: (r["text"], r["blocks"]) for r in rows(html.extract_text(spark.read.parquet(str(tmp_path))))}
+    assert out == {i: (f"Teaser {i}\n\nBody text of page {i} stands in a div.", ["shared", "article", "own"]) for i in range(3)}
+
+
 def test_lcs():
     import random
 
