@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ NOT_ARTICLE = set(
     "nav navbar navigation menu menubar sidebar sidebars breadcrumb breadcrumbs footer header masthead banner ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion "
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "comment comments disqus reply replies respond pagination pager toc widget widgets skip copyright legal paywall".split())
+#: Two pages are near copies if what they share is all of the smaller one but a part in this many.
+COPY_OF = 10
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -151,7 +154,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     1. Pages become lines (text blocks). In the order of host and URL path every page is paired with the
        page before it, and with the one after it if they are of its host; the nearer is the one that shares the
-       longer start of the path, the one before on a tie.
+       longer start of the path, the one before on a tie. Near copies of the page (``near_copy``: the same page under
+       another URL, a repeated row) say nothing about what is its own and are passed over, however many they
+       are, to the next page of the host that differs; if there is none, nothing is deleted.
     2. A longest common subsequence of the two pages' lines is what they share; shared lines go.
     3. A guard keeps differencing right where pages have markup: what menus, headers, footers, asides, forms,
        adverts and comments contain goes without a partner as well, and lines inside an article
@@ -161,7 +166,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Pairing looks at urls and line hashes only; page text is shuffled once, with the lines to delete.
     Null html or no lines left: empty text. A null url is its own host, so those pages pair with each other.
-    Repeated rows pair as others do. Empty table: empty result.
+    Repeated rows are copies like others. Empty table: empty result.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "html")
@@ -171,18 +176,19 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     def hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # only what differencing may delete: lines outside an article and not apart by markup already
-            lines = [[h for h, (_, place) in zip(hashes, blocks) if place == 1] for blocks, hashes in map(_lines, batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.list_(pa.int64()))], ["tie", "url", "lines"])
+            lines = [[(h, len(t)) for h, (t, place) in zip(hashes, blocks) if place == 1] for blocks, hashes in map(_lines, batch.column(2).to_pylist())]
+            hashed, sizes = [[h for h, _ in x] for x in lines], [[n for _, n in x] for x in lines]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashed, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], ["tie", "url", "lines", "sizes"])
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     path = F.coalesce(F.regexp_replace("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), F.lit(""))
-    lines = source.select("tie", "url", "html").mapInArrow(hash_lines, "tie long, url string, lines array<long>").select("tie", host.alias("host"), path.alias("path"), "lines")
+    lines = source.select("tie", "url", "html").mapInArrow(hash_lines, "tie long, url string, lines array<long>, sizes array<int>").select("tie", host.alias("host"), path.alias("path"), "lines", "sizes")
     lines = scratch.keep(lines, "lines")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // rows_per_partition + 1)
     ranged = scratch.keep(lines.repartitionByRange(parts, "host", "path", "tie").withColumn("part", F.spark_partition_id()), "ranged")
     scratch.drop("lines")
-    deleted = scratch.keep(_shared_with_neighbour(ranged), "deleted")
-    scratch.drop("ranged")
+    deleted = scratch.keep(_shared_with_neighbour(ranged, scratch), "deleted")
+    scratch.drop("ranged", "runs")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,26 +212,64 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return source.join(deleted, "tie", "left").select("page_id", "url", "html", "gone").mapInArrow(extract, f"page_id {id_type}, url string, text string, blocks array<string>")
 
 
-def _shared_with_neighbour(ranged: DataFrame) -> DataFrame:
-    """``tie, gone``: which of its lines each page shares with its nearest neighbour in the global order.
+def near_copy(a: list[int], a_sizes: list[int], b: list[int], b_sizes: list[int]) -> bool:
+    """Whether two pages are one page twice over, by the characters of their lines: what they share is nearly all of the smaller and half of the larger.
 
-    Inside a partition neighbours come from a window; the first and last page of each partition, one row
-    each, are handed across the border.
+    The second bound keeps a page of nothing but a menu from being a copy of every page with that menu.
     """
+    left = Counter(b)
+    shared = 0
+    for x, n in zip(a, a_sizes):
+        if left[x] > 0:
+            left[x] -= 1
+            shared += n
+    less, more = sorted((sum(a_sizes), sum(b_sizes)))
+    return COPY_OF * shared >= (COPY_OF - 1) * less and 2 * shared >= more
+
+
+def _shared_with_neighbour(ranged: DataFrame, scratch: Scratch) -> DataFrame:
+    """``tie, gone``: which of its lines each page shares with its nearest differing neighbour in the global order.
+
+    Neighbours that are near copies form a run, and each page of a run is held against the last page
+    before and the first page after the run. Inside a partition neighbours and run ends come from windows;
+    one page and one run end per partition are handed across the borders, as far as a run goes.
+    """
+    page = F.struct("host", "path", "lines", "sizes")
     own = Window.partitionBy("part").orderBy("host", "path", "tie")
-    page = F.struct("host", "path", "lines")
+    back = Window.partitionBy("part").orderBy(F.col("host").desc(), F.col("path").desc(), F.col("tie").desc())
+    so_far = (Window.unboundedPreceding, Window.currentRow)
     rows = ranged.select("*", F.lag(page).over(own).alias("before"), F.lead(page).over(own).alias("after"))
-    ends = ranged.groupBy("part").agg(F.min(F.struct("host", "path", "tie", "lines")).alias("first"), F.max(F.struct("host", "path", "tie", "lines")).alias("last"))
-    order = Window.orderBy("part")
-    thin = lambda c: F.struct(F.col(f"{c}.host").alias("host"), F.col(f"{c}.path").alias("path"), F.col(f"{c}.lines").alias("lines"))
+    ends = ranged.groupBy("part").agg(F.min(F.struct("host", "path", "tie", "lines", "sizes")).alias("first"), F.max(F.struct("host", "path", "tie", "lines", "sizes")).alias("last"))
+    order, order_back = Window.orderBy("part"), Window.orderBy(F.col("part").desc())
+    thin = lambda c: F.struct(*[F.col(f"{c}.{x}").alias(x) for x in ("host", "path", "lines", "sizes")])
     ends = ends.select("part", F.lag(thin("last")).over(order).alias("border_before"), F.lead(thin("first")).over(order).alias("border_after"))
-    rows = rows.join(ends, "part").select("tie", "host", "path", "lines", F.coalesce("before", "border_before").alias("before"), F.coalesce("after", "border_after").alias("after"))
+    rows = rows.join(ends, "part").select("tie", "part", "host", "path", "lines", "sizes", F.coalesce("before", "border_before").alias("before"), F.coalesce("after", "border_after").alias("after"))
+
+    def run_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {n: batch.column(n).to_pylist() for n in ("host", "lines", "sizes", "before", "after")}
+            apart = {}
+            for side in ("before", "after"):
+                apart[side] = [x is None or x["host"] != host or not near_copy(lines, sizes, x["lines"], x["sizes"]) for host, lines, sizes, x in zip(at["host"], at["lines"], at["sizes"], at[side])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(apart["before"], pa.bool_()), pa.array(apart["after"], pa.bool_())], [*batch.schema.names, "starts", "stops"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    # a struct around the page, as a run at the end of its host has no page there, which is not the same as no end
+    rows = rows.mapInArrow(run_ends, f"{schema}, starts boolean, stops boolean")
+    rows = rows.withColumn("before", F.when(F.col("starts"), F.struct(F.col("before").alias("page")))).withColumn("after", F.when(F.col("stops"), F.struct(F.col("after").alias("page"))))
+    rows = scratch.keep(rows.drop("starts", "stops"), "runs")
+    place = F.struct("host", "path", "tie")
+    carried = rows.groupBy("part").agg(F.max_by("before", F.when(F.col("before").isNotNull(), place)).alias("before"), F.min_by("after", F.when(F.col("after").isNotNull(), place)).alias("after"))
+    carried = carried.select("part", F.last("before", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("from_before"), F.last("after", True).over(order_back.rowsBetween(Window.unboundedPreceding, -1)).alias("from_after"))
+    rows = rows.withColumn("before", F.last("before", True).over(own.rowsBetween(*so_far))).withColumn("after", F.last("after", True).over(back.rowsBetween(*so_far)))
+    rows = rows.join(carried, "part").select("tie", "host", "path", "lines", "sizes", F.coalesce("before", "from_before")["page"].alias("before"), F.coalesce("after", "from_after")["page"].alias("after"))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ties, found = [], []
-            for tie, host, path, lines, before, after in zip(*[c.to_pylist() for c in batch.columns]):
-                near = [(common_start(path, x["path"]), i, x["lines"]) for i, x in ((1, before), (0, after)) if x is not None and x["host"] == host]
+            for tie, host, path, lines, sizes, before, after in zip(*[c.to_pylist() for c in batch.columns]):
+                # the ends of a run may differ from each other, and one of them be a copy of this page all the same
+                near = [(common_start(path, x["path"]), i, x["lines"]) for i, x in ((1, before), (0, after)) if x is not None and x["host"] == host and not near_copy(lines, sizes, x["lines"], x["sizes"])]
                 if near and lines:
                     gone = common_lines(lines, max(near, key=lambda x: x[:2])[2])
                     if gone:

@@ -302,6 +302,24 @@ def test_html_beside_article(spark, tmp_path):
     assert out == {i: (f"Teaser {i}\n\nBody text of page {i} stands in a div.", ["shared", "article", "own"]) for i in range(3)}
 
 
+@pytest.mark.parametrize("per_partition", [3, 20_000])
+def test_html_copies(spark, tmp_path, per_partition):
+    """Copies and near copies of a page don't delete its text; the next page that differs still deletes the menu."""
+    menu = "<div>Site menu of the day</div>"
+    text = [f"Paragraph {k} of the story has a good many words to tell." for k in range(8)]
+    story = "".join(f"<p>{x}</p>" for x in text)
+    pages = [(0, "http://h/a/0", f"{menu}<p>Something else stands on this page.</p>")]
+    pages += [(i, f"http://h/a/1?page={i:02}", f"{menu}{story}<p>Seen {i} times</p>" if i % 3 else f"{menu}{story}") for i in range(1, 25)]
+    pages += [(25, "http://h/a/1?page=12&print", story), (26, "http://h/b", f"{menu}<p>A last page closes the host.</p>")]
+    pages += [(30 + i, "http://only/copies", f"{menu}{story}") for i in range(6)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4).write.mode("overwrite").parquet(str(tmp_path))
+    out = {r["page_id"]: r["text"].split("\n\n") for r in rows(html.extract_text(spark.read.parquet(str(tmp_path)), rows_per_partition=per_partition))}
+    assert out[0] == ["Something else stands on this page."] and out[26] == ["A last page closes the host."]
+    assert all(out[i] == text + ([f"Seen {i} times"] if i % 3 else []) for i in range(1, 25)), out
+    assert out[25] == text
+    assert all(out[30 + i] == ["Site menu of the day", *text] for i in range(6))
+
+
 def test_lcs():
     import random
 
