@@ -21,6 +21,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Labelled samples of each class; nats per character by which a secret has to look more random.
 SAMPLES, MARGIN = 4000, 0.35
+#: Least length of a secret the models judge; what parts words in a run; nats by which a running sum may fall before a random part ends.
+LEAST, SEPARATOR, DROP = 20, r"[/=_+-]", 6.0
 # Parts of ordinary identifiers, words and paths.
 PARTS = (
     "get set user name file path list item count index value key data type node tree map hash load save read write open close "
@@ -110,20 +112,67 @@ def _found(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string,match:string>>"))
 
 
-def _randomness(llr: Column, index: Column, word: Column) -> Column:
-    """Mean log-likelihood ratio per character pair, in one pass over the characters."""
-    k, n = len(ALPHABET), F.length(word)
-    codes = F.transform(F.split(word, ""), lambda c: F.get(index, F.ascii(c)))
-    total = F.flatten(F.transform(F.array(codes), lambda cs: F.array(F.aggregate(F.zip_with(F.slice(cs, F.lit(1), n - 1), F.slice(cs, F.lit(2), n - 1), lambda a, b: F.get(llr, a * k + b)), F.lit(0.0), lambda s, x: s + x))))
-    return F.get(total, F.lit(0)) / (n - 1)
+def _unclaimed(run: Column, base: Column) -> Column:
+    """What base spans leave of a run, as an array of (start, end), pieces of LEAST characters or more."""
+    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    cut = lambda done, a, b: F.when(b - a >= LEAST, F.concat(done, F.array(span(a, b)))).otherwise(done)
+    claims = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    return F.aggregate(
+        claims, F.struct(run["start"].cast("int").alias("at"), none.alias("done")),
+        lambda s, b: F.struct(F.greatest(s["at"], b["end"]).cast("int").alias("at"), cut(s["done"], s["at"], b["start"]).alias("done")),
+        lambda s: cut(s["done"], s["at"], run["end"]))
+
+
+def _random_segments(llr: Column, index: Column, margin: float, word: Column) -> Column:
+    """The parts of a run that look random, as an array of (start, end) in it: LEAST characters or more, ``margin`` nats a pair above ordinary.
+
+    The whole run if its mean is above the margin. Else what a running sum finds, which begins anew where it falls to nothing or
+    by DROP below its highest value and ends at that value, and every stretch between separators whose own mean is above the margin. Where
+    both find the same place, the stretch counts, as its ends are exact.
+    """
+    k = len(ALPHABET)
+    kind = "array<struct<start:int,end:int>>"
+    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    state = lambda i, total, start, most, end, done: F.struct(i.cast("int").alias("i"), total.cast("double").alias("total"), start.cast("int").alias("start"), most.cast("double").alias("most"), end.cast("int").alias("end"), done.alias("done"))
+    closed = lambda s: F.when(s["end"] - s["start"] >= LEAST, F.concat(s["done"], F.array(span(s["start"], s["end"])))).otherwise(s["done"])
+    zero = F.lit(0)
+    let = lambda x, f: F.get(F.transform(F.array(x), f), zero)
+
+    def step(s: Column, gain: Column) -> Column:
+        total = s["total"] + gain
+        anew = state(s["i"] + 1, zero, s["i"] + 1, zero, s["i"] + 1, closed(s))
+        higher = state(s["i"] + 1, total, s["start"], total, s["i"] + 2, s["done"])
+        lower = state(s["i"] + 1, total, s["start"], s["most"], s["end"], s["done"])
+        return F.when((total <= 0) | (total < s["most"] - DROP), anew).when(total > s["most"], higher).otherwise(lower)
+
+    def from_gains(gains: Column) -> Column:
+        mean_above = lambda a, b: F.aggregate(F.slice(gains, a + 1, b - a - 1), F.lit(0.0), lambda t, g: t + g) > 0
+        scanned = F.aggregate(gains, state(zero, zero, zero, zero, zero, F.array().cast(kind)), step, closed)
+        lengths = F.transform(F.split(word, SEPARATOR), F.length)
+        stretches = F.aggregate(lengths, F.struct(zero.alias("at"), F.array().cast(kind).alias("done")), lambda s, n: F.struct((s["at"] + n + 1).cast("int").alias("at"), F.when(n >= LEAST, F.concat(s["done"], F.array(span(s["at"], s["at"] + n)))).otherwise(s["done"]).alias("done")), lambda s: s["done"])
+        parts = let(F.filter(stretches, lambda x: mean_above(x["start"], x["end"])), lambda exact: F.concat(exact, F.filter(_outside(scanned, exact), lambda x: mean_above(x["start"], x["end"]))))
+        return F.when(mean_above(zero, F.length(word)), F.array(span(zero, F.length(word)))).otherwise(parts)
+
+    def from_codes(codes: Column) -> Column:
+        n = F.size(codes)
+        return let(F.zip_with(F.slice(codes, F.lit(1), n - 1), F.slice(codes, F.lit(2), n - 1), lambda a, b: F.get(llr, a * k + b) - margin), from_gains)
+
+    return let(F.transform(F.split(word, ""), lambda c: F.get(index, F.ascii(c))), from_codes)
+
+
+def _outside(found: Column, exact: Column) -> Column:
+    """Spans without what the exact ones cover; pieces of LEAST characters or more stay."""
+    return F.flatten(F.transform(found, lambda x: _unclaimed(x, exact)))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, samples: DataFrame | None = None) -> DataFrame:
     """Every secret of every whole text: ``doc_id, base, found`` (arrays of start, end, kind, match).
 
-    ``base`` has the matches of the fixed patterns; ``found`` those and, as kind ``markov``, every run of
-    20 or more of ALPHABET that no base span covers and that the model of random strings explains better
-    than that of identifiers, by ``margin`` nats a character. All of it is one projection over the scan:
+    ``base`` has the matches of the fixed patterns; ``found`` those and, as kind ``markov``, every part of 20 or more
+    characters that the model of random strings explains better than that of identifiers, by ``margin`` nats
+    a character: of runs of ALPHABET, less what base spans cover, whole runs or the random parts among
+    ordinary neighbours (``_random_segments``). All of it is one projection over the scan:
     no shuffle, no Python. Null text: empty, no spans. Rows keep their number, repeated ones too.
     """
     spark = docs.sparkSession
@@ -136,5 +185,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rank = F.from_json(F.lit(json.dumps({kind: i for i, (kind, *_) in enumerate([*BASE, ("markov",)])})), "map<string,int>")
     order = lambda xs: F.transform(F.array_sort(F.transform(xs, lambda x: F.struct(x["start"].alias("start"), F.element_at(rank, x["kind"]).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), x["match"].alias("match")))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["match"].alias("match")))
     rows = rows.withColumn("base", order(F.concat(*[F.col(kind) for kind, *_ in BASE])))
-    more = F.filter(_found(F.col("text"), "markov", CANDIDATE, 0, 20), lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & (_randomness(llr, index, x["match"]) > margin))
+    def parts(run: Column) -> Column:
+        """Random parts of a run, each as a span of the text with its match."""
+
+        def of(rest: Column) -> Column:
+            word = F.substring(run["match"], rest["start"] - run["start"] + 1, rest["end"] - rest["start"])
+            return F.transform(_random_segments(llr, index, margin, word), lambda x: F.struct((rest["start"] + x["start"]).alias("start"), (rest["start"] + x["end"]).alias("end"), F.lit("markov").alias("kind"), F.substring(run["match"], rest["start"] - run["start"] + x["start"] + 1, x["end"] - x["start"]).alias("match")))
+
+        return F.flatten(F.transform(_unclaimed(run, F.col("base")), of))
+
+    more = F.flatten(F.transform(_found(F.col("text"), "markov", CANDIDATE, 0, LEAST), parts))
     return rows.withColumn("found", order(F.concat(F.col("base"), more))).select("doc_id", *[kind for kind, *_ in BASE], "base", "found")

@@ -189,6 +189,22 @@ def test_secrets(spark, docs, no_docs):
     assert secrets.scan_secrets(docs).count() == docs.count() and rows(secrets.scan_secrets(no_docs)) == []
 
 
+def test_secrets_among_neighbours(spark):
+    """A random part is found among path parts, names and base spans, and twice in one run; ordinary runs give nothing."""
+    key, other = "sk9Fq2LmZ8xT4vWc7Rb1Yd6Hn3", "Zt4KpW8rXb2NvQ7mJc5GyL9dHs"
+    cases = {
+        key: [key], f"/api/public/users/session/handler/{key}": [key], f"/page/content/image/{key}": [key], f"client_session_handler_key_value={key}": [key], f"my-private-config-name-{key}": [key],
+        f"/page/content/image/{key}/page/content/index/file/users/session/handler/{other}/public/content": [key, other],
+        f"{key}token={'q' * 12}": [key], f"{key}/AKIA{'Z9' * 8}": [key + "/"],
+        "/api/public/users/session/handler/client/request/response": [], "get_user_name_from_session_config": [],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string")
+    for r in rows(secrets.scan_secrets(df)):
+        text, want = list(cases.items())[r["doc_id"]]
+        found = [s for s in r["found"] if s["kind"] == "markov"]
+        assert [s["match"] for s in found] == want and all(text[s["start"] : s["end"]] == s["match"] for s in found), (text, found)
+
+
 def shingles(t, k):
     w = WORD.findall(t.translate(LOWER))
     return frozenset(zip(*[w[i:] for i in range(k)])) if len(w) >= k else frozenset([tuple(w)] if w else [])
