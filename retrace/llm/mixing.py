@@ -91,15 +91,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return placed.select("doc_id", "tie", "source", "size", "source_size", "target", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"]).alias("taken"), "copies")
 
 
-def mixed_documents(docs: DataFrame, partitions: int | None = None, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, partitions: int | None = None, whole: bool = False, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, in the order of training.
 
     ``docs`` has to be a stored table: its rows are named by their place in it, in two reads. Rows keep
     all columns of ``docs``; the one copy per source in which the walk stops keeps the text up
-    to its last word taken. The result is range-partitioned and sorted by position.
+    to its last word taken, or with ``whole`` is there whole or not at all, whichever is nearer to the
+    target, so no text is ever cut. The result is range-partitioned and sorted by position.
     """
     text_col = options.get("text_col", "text")
     plan = mix(docs, **options).where("taken > 0").select("tie", F.explode("copies").alias("copy"), "size").alias("p")
+    if whole:
+        plan = plan.where(2 * F.col("copy.words") >= F.col("size")).withColumn("copy", F.col("copy").withField("words", F.col("size")))
     rows = docs.select(F.monotonically_increasing_id().alias("tie"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     out = rows.join(plan, "tie").select("row", "copy", "size")
     parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -106,6 +106,15 @@ def test_mixed_documents(docs, no_docs):
     assert rows(mixing.mixed_documents(no_docs)) == []
 
 
+def test_mixed_documents_whole(docs):
+    """No text is cut, and each source's words are as near to its target as whole documents allow."""
+    known = collections.Counter((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+    out = rows(mixing.mixed_documents(docs, partitions=3, whole=True))
+    assert {(r["doc_id"], r["text"]) for r in out} <= set(known)
+    plan = rows(mixing.mix(docs))
+    assert len(out) == sum(2 * c["words"] >= r["size"] for r in plan for c in r["copies"]) and any(c["words"] < r["size"] for r in plan for c in r["copies"])
+
+
 def test_bpe(docs, no_docs):
     from tokenizers import Tokenizer
 
