@@ -175,6 +175,7 @@ aggregated("agg_range", lambda: {"value": {"range": {"field": "new_value", "rang
 aggregated("agg_date_range", lambda: {"part": {"date_range": {"field": "loggedAt", "ranges": [{"key": "early", "to": "2024-01-10"}, {"key": "late", "from": "2024-01-10"}]}}}, f"SELECT CASE WHEN moment < TIMESTAMP '2024-01-10' THEN 'early' ELSE 'late' END AS part, {N} FROM hist GROUP BY 1", key="part")
 aggregated("agg_histogram", lambda: {"bar": {"histogram": {"field": "k", "interval": 7}}}, f"SELECT CAST(floor(k / 7.0) * 7 AS BIGINT) AS bar, {N} FROM hist WHERE k IS NOT NULL GROUP BY 1", key="bar", pick=lambda: [F.col("bar").cast("long").alias("bar"), "doc_count"])
 aggregated("agg_date_histogram_day", lambda: {"day": {"date_histogram": {"field": "loggedAt", "calendar_interval": "day"}}}, ", d AS (SELECT CAST(moment AS DATE) AS day, count(*) AS n FROM hist WHERE objectType = 'order' AND warehouseId = 1 AND k = 3 GROUP BY 1) SELECT strftime(g.day, '%Y-%m-%d') AS day, coalesce(n, 0) AS doc_count FROM (SELECT CAST(unnest(generate_series((SELECT min(day) FROM d)::TIMESTAMP, (SELECT max(day) FROM d)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day) g LEFT JOIN d USING (day)", key="day", pick=lambda: [F.date_format("day", "yyyy-MM-dd").alias("day"), "doc_count"], query=lambda: Q.for_("order").where("warehouseId", 1).narrow_in("k", 3))
+aggregated("agg_date_histogram_day_all", lambda: {"day": {"date_histogram": {"field": "loggedAt", "calendar_interval": "day"}}}, ", d AS (SELECT CAST(moment AS DATE) AS day, count(*) AS n FROM hist GROUP BY 1) SELECT strftime(g.day, '%Y-%m-%d') AS day, coalesce(n, 0) AS doc_count FROM (SELECT CAST(unnest(generate_series((SELECT min(day) FROM d)::TIMESTAMP, (SELECT max(day) FROM d)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day) g LEFT JOIN d USING (day)", key="day", pick=lambda: [F.date_format("day", "yyyy-MM-dd").alias("day"), "doc_count"])
 aggregated("agg_date_histogram_fixed", lambda: {"slot": {"date_histogram": {"field": "loggedAt", "fixed_interval": "6h", "min_doc_count": 1}}}, f"SELECT strftime(time_bucket(INTERVAL 6 HOUR, moment, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS slot, {N} FROM hist GROUP BY 1", key="slot", pick=lambda: [V.second_text(F.col("slot")).alias("slot"), "doc_count"])
 aggregated("agg_auto_date_histogram", lambda: {"unit": {"auto_date_histogram": {"field": "loggedAt", "buckets": 40}}}, f"SELECT strftime(CAST(moment AS DATE), '%Y-%m-%d') AS unit, {N} FROM hist GROUP BY 1", key="unit", pick=lambda: [F.date_format("unit", "yyyy-MM-dd").alias("unit"), "doc_count"])
 aggregated("agg_filter", lambda: {"by_system": {"filter": {"filter": F.col("source") == "system"}, "aggs": {"highest": {"max": {"field": "k"}}}}}, f"SELECT true AS by_system, {N}, max(k) AS highest FROM hist WHERE source = 'system'", key="by_system")

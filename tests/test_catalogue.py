@@ -42,6 +42,11 @@ def test_without_sql(spark, sf):
         assert found, name
 
 
+def test_daily_histogram_reads_all(spark, sf):
+    days = catalogue.QUERIES["agg_date_histogram_day_all"](spark, sf).collect()
+    assert sum(r["doc_count"] for r in days) == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["day", "actor", "records"]
     assert set(catalogue.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
