@@ -30,11 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables an operator writes on its way, in the shared folder, so that a lost executor costs one stage.
 
-    ``drop`` removes a table that nothing reads any more; what the result still reads stays.
+    ``drop`` removes a table that nothing reads any more; what the result still reads stays. Rows that are named by
+    their place in a stored table get the same name in every scan as long as files are split alike, so the
+    one setting that follows the number of executors alive is held where it stands.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) is None:
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", spark.sparkContext.defaultParallelism)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -43,15 +47,6 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def keep_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-        """As ``keep``, dealt out by a key into a bucketed table: joins by that key don't shuffle it again."""
-        table = f"{name}_{self.root.rpartition('-')[2]}"
-        df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).saveAsTable(table)
-        return self.spark.table(table)
-
-    def drop_bucketed(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}_{self.root.rpartition('-')[2]}")
-
     def release(self) -> None:
         """Lets the driver notice that finished plans are gone, so that their shuffle files go now and not at its next collection."""
         gc.collect()

@@ -42,6 +42,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
+    # what stays is a narrow table, without the bytes that levels handed on
+    out = scratch.keep(out, "result")
+    scratch.drop(*[f"level{i}" for i in range(level + 1)])
     return out
 
 

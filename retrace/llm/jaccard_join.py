@@ -24,13 +24,18 @@ HOT = 64
 BITS, FOLDED, COARSE = 1 << 15, 1 << 12, 1 << 10
 
 
+#: A need is kept in seven bits; a set that needs more keys than this is held to this many.
+MOST_NEEDED = 127
+
+
 class Bands:
     """Size bands and how many blocks a sketch has in each.
 
     A band is [e, e * 100 // percent], so two sets that may link are in the same band or in neighbours.
     Join group i holds bands i and i + 1. Two linked sets in it differ in at most ``most[i]`` elements,
     and a differing element changes one block, so of ``blocks[i]`` = most + margin blocks at least margin
-    are equal.
+    are equal. The margin grows with the size, so that long sets which share a passage only have far
+    fewer equal blocks than it asks for.
     """
 
     def __init__(self, percent: int):
@@ -39,7 +44,7 @@ class Bands:
             self.starts.append(self.starts[-1] * 100 // percent + 1)
         for i in range(len(self.starts) - 2):
             self.most.append((100 - percent) * (self.starts[i + 1] - 1 + self.starts[i + 2] - 1) // (100 + percent))
-            self.margin.append(1 if self.most[-1] == 0 else 2 if self.most[-1] < 10 else 4)
+            self.margin.append(1 if self.most[-1] == 0 else 2 if self.most[-1] < 10 else max(4, self.most[-1] // 8))
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(np.array(self.starts), sizes, side="right") - 1
@@ -72,18 +77,20 @@ def nodes_of(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def block_keys(codes: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all sets: key, index of the set, and whether the set is of the upper band of the group.
+    """Keys of all sets: key, index of the set, and flags: 1 if the set is of the upper band of the group, and twice its need.
 
     The sketch of a set has a bit for each (hashed) place, flipped by every element there. Its blocks are
     cut by the leading bits of the elements, which are sorted, so each block is a run; the key of a block is
     the XOR of a hash of its places, which is a linear hash of the bits. At least ``margin`` blocks of
-    two linked sets are equal; as long as fewer are empty, one that is not empty is. Only a set with
-    more empty blocks than that gives keys for the empty ones too.
+    two linked sets are equal, so a set shares that many keys less its empty blocks with each partner:
+    its need. Where all equal blocks may be empty (as many as ``margin`` are, in both sets then), a set gives its
+    least elements as keys instead, as many as may be missing in a partner and one more: of these one is shared.
     """
     sets = np.flatnonzero(counts)
     own = np.repeat(np.arange(len(counts)), counts)
+    begins = np.cumsum(counts) - counts
     band = bands.of(counts)
-    keys, owners, uppers = [], [], []
+    keys, owners, flags = [], [], []
     for upper in (0, 1):
         group = band - upper
         use = sets[group[sets] >= 0]
@@ -99,18 +106,20 @@ def block_keys(codes: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.
         first = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (place[1:] != place[:-1]))))
         value = np.bitwise_xor.reduceat(mixed(c ^ (group[o].astype(np.uint64) << np.uint64(53))), first)
         o, place = o[first], place[first]
+        filled = np.bincount(o, minlength=len(counts))
+        need = np.clip(margin - (blocks - filled), 1, MOST_NEEDED)
         keys.append(mixed(value ^ mixed(group[o].astype(np.uint64) << np.uint64(32) | place)))
         owners.append(o)
-        uppers.append(np.full(len(o), upper, np.uint8))
-        filled = np.bincount(o, minlength=len(counts))
+        flags.append((upper | need[o] << 1).astype(np.uint8))
         for i in use[(blocks - filled)[use] >= margin[use]].tolist():
-            empty = np.setdiff1d(np.arange(blocks[i], dtype=np.uint64), place[o == i])
-            keys.append(mixed(mixed(np.uint64(group[i]) << np.uint64(32) | empty)))
-            owners.append(np.full(len(empty), i))
-            uppers.append(np.full(len(empty), upper, np.uint8))
+            n = int(counts[i])
+            least = codes[begins[i] : begins[i] + n + bands.percent * -n // 100 + 1]
+            keys.append(mixed(mixed(least) ^ np.uint64(group[i]) << np.uint64(53)))
+            owners.append(np.full(len(least), i))
+            flags.append(np.full(len(least), upper | 2, np.uint8))
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    return np.concatenate(keys), np.concatenate(owners), np.concatenate(uppers)
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(flags)
 
 
 def sketch(codes: np.ndarray) -> bytes:
@@ -165,7 +174,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
 
     1. Every text becomes its set of shingles (``words`` words, A-Z lower-cased) and a 64-bit name of the
        set. Copies share a name and are one node from here on.
-    2. Nodes give their block keys; keys with two or more nodes are the candidates. Each key ties its
+    2. Nodes give their block keys. A node stays a candidate if it has as many keys in common with others
+       as it must have with each node it links with; keys with two or more such nodes tie their
        members to one of them, which is linear in the size of a group.
     3. Tied pairs are cut by sizes and the Hamming distance of their sketches, a lower bound of the
        symmetric difference, and verified on the sets. Verified links give components.
@@ -192,9 +202,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
                 yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array(nodes_of(codes, counts).view(np.int64)), pa.array(counts.astype(np.int64))], ["doc_id", "tie", "node", "n"])
 
     named = scratch.keep(source.mapInArrow(name_sets, f"doc_id {id_type}, tie long, node long, n long"), "named")
-    shared = scratch.keep(_shared_keys(source.select("text"), words, bands), "shared")
-    # every later join with it is by node, so it is dealt out by node once, in a bucketed table of the shared warehouse
-    members = scratch.keep_bucketed(_candidate_sets(source, named, shared, words), "members", "node", partitions_for(docs))
+    dealt = scratch.keep(_shared_keys(source.select("text"), words, bands), "dealt")
+    scratch.release()
+    shared = scratch.keep(_enough(dealt), "shared")
+    scratch.drop("dealt")
+    members = scratch.keep(_candidate_sets(source, named, shared, words), "members")
     scratch.release()
     pairs = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = scratch.keep(_verified(pairs, members, percent), "links")
@@ -204,8 +216,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
     scratch.release()
     more = scratch.keep(_verified(across, members, percent), "more")
     roots = connected_components(links.unionByName(more), scratch, "second")
-    scratch.drop("shared", "links", "more", "across")
-    scratch.drop_bucketed("members")
+    scratch.drop("shared", "links", "more", "across", "members")
     scratch.release()
 
     full = named.where("n > 0").select("doc_id", "tie", "n", F.struct("node").alias("at"))
@@ -218,7 +229,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
 
 
 def _shared_keys(texts: DataFrame, words: int, bands: Bands) -> DataFrame:
-    """``key, node, leader, upper`` of every key that two nodes have, one of them of the group's lower band.
+    """``key, node, upper, need`` of every key that two nodes have, one of them of the group's lower band; need is the node's in this group.
 
     Workers deal packets of keys out to bins instead of rows: a packet holds, for one bin, the keys and the
     nodes that have them. A bin is read alone, sorted by key in memory; its size follows from the
@@ -233,8 +244,8 @@ def _shared_keys(texts: DataFrame, words: int, bands: Bands) -> DataFrame:
         for batch in batches:
             for _, part in batches_of(batch.column(0).to_pylist()):
                 codes, counts = shingle_sets(part, words)
-                keys, own, upper = block_keys(codes, counts, bands)
-                held.append((keys, nodes_of(codes, counts)[own], upper))
+                keys, own, flags = block_keys(codes, counts, bands)
+                held.append((keys, nodes_of(codes, counts)[own], flags))
                 n += len(keys)
                 if n >= KEYS_AT_ONCE:
                     yield packets(held)
@@ -243,27 +254,26 @@ def _shared_keys(texts: DataFrame, words: int, bands: Bands) -> DataFrame:
             yield packets(held)
 
     def packets(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        keys, nodes, upper = (np.concatenate(x) for x in zip(*held))
+        keys, nodes, flags = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((nodes, keys))
-        keys, nodes, upper = keys[order], nodes[order], upper[order]
+        keys, nodes, flags = keys[order], nodes[order], flags[order]
         new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])))
-        keys, nodes, upper = keys[new], nodes[new], upper[new]
+        keys, nodes, flags = keys[new], nodes[new], flags[new]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         size = np.diff(np.append(first, len(keys)))
         many = np.repeat(size >= HOT, size)
-        leader = np.repeat(nodes[first], size)
         lead = np.zeros(len(keys), bool)
         lead[first] = True
         out_bin, out_data = [], []
-        # hot keys: members go along as they are, to any bin, tied to the first; the first goes to be counted
+        # hot keys: members go along as they are, to any bin; the first goes to be counted
         for at in range(0, int(many.sum()), 1 << 16):
             hot = np.flatnonzero(many)[at : at + (1 << 16)]
             out_bin.append(int(keys[hot[0]] % np.uint64(bins)))
-            out_data.append(b"H" + pa.py_buffer(np.concatenate((keys[hot], nodes[hot], leader[hot], upper[hot].astype(np.uint64))).tobytes()).to_pybytes())
+            out_data.append(b"H" + keys[hot].tobytes() + nodes[hot].tobytes() + flags[hot].tobytes())
         stay = ~many | lead
-        keys, nodes, upper, many = keys[stay], nodes[stay], upper[stay], many[stay]
+        keys, nodes, flags, many = keys[stay], nodes[stay], flags[stay], many[stay]
         # a hot key counts as one of the lower band: its members are shared already
-        flags = (upper & ~many).astype(np.uint8)
+        flags = np.where(many, flags & 0xFE, flags).astype(np.uint8)
         bin_of = (keys % np.uint64(bins)).astype(np.int64)
         order = np.argsort(bin_of, kind="stable")
         bounds = np.searchsorted(bin_of[order], np.arange(bins + 1))
@@ -275,18 +285,18 @@ def _shared_keys(texts: DataFrame, words: int, bands: Bands) -> DataFrame:
                 out_data.append(b"K" + np.array([len(at), len(names)], np.uint64).tobytes() + keys[at].tobytes() + names.tobytes() + index.astype(np.uint32).tobytes() + flags[at].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(out_bin, pa.int32()), pa.array(out_data, pa.binary())], ["bin", "data"])
 
-    def rows(keys: np.ndarray, nodes: np.ndarray, leaders: np.ndarray, upper: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(keys: np.ndarray, nodes: np.ndarray, flags: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(keys), 1 << 17):
             cut = slice(at, at + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(x[cut].view(np.int64)) for x in (keys, nodes, leaders)] + [pa.array(upper[cut].astype(bool))], ["key", "node", "leader", "upper"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[cut].view(np.int64)) for x in (keys, nodes)] + [pa.array((flags[cut] & 1).astype(bool)), pa.array((flags[cut] >> 1).astype(np.int8))], ["key", "node", "upper", "need"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, packs in groupby(((b, d) for batch in batches for b, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), key=lambda x: x[0]):
             held = []
             for _, data in packs:
                 if data[:1] == b"H":
-                    keys, nodes, leaders, upper = np.frombuffer(data, np.uint64, offset=1).reshape(4, -1)
-                    yield from rows(keys, nodes, leaders, upper)
+                    n = len(data) // 17
+                    yield from rows(np.frombuffer(data, np.uint64, n, 1), np.frombuffer(data, np.uint64, n, 1 + 8 * n), np.frombuffer(data, np.uint8, n, 1 + 16 * n))
                     continue
                 n, m = np.frombuffer(data, np.uint64, 2, 1).tolist()
                 keys, names = np.frombuffer(data, np.uint64, n, 17), np.frombuffer(data, np.uint64, m, 17 + 8 * n)
@@ -294,24 +304,36 @@ def _shared_keys(texts: DataFrame, words: int, bands: Bands) -> DataFrame:
                 held.append((keys, names[index], np.frombuffer(data, np.uint8, n, 17 + 12 * n + 8 * m)))
             if not held:
                 continue
-            keys, nodes, upper = (np.concatenate(x) for x in zip(*held))
+            keys, nodes, flags = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(keys, kind="stable")
             same = keys[order][1:] == keys[order][:-1]
             order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
             order = order[np.lexsort((nodes[order], keys[order]))]
-            keys, nodes, upper = keys[order], nodes[order], upper[order]
+            keys, nodes, flags = keys[order], nodes[order], flags[order]
             new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])))[: len(keys)]
-            keys, nodes, upper = keys[new], nodes[new], upper[new]
+            keys, nodes, flags = keys[new], nodes[new], flags[new]
             if not len(keys):
                 continue
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             size = np.diff(np.append(first, len(keys)))
-            lower = np.add.reduceat(1 - upper.astype(np.int64), first)
+            lower = np.add.reduceat(1 - (flags & 1).astype(np.int64), first)
             use = np.repeat((size > 1) & (lower > 0), size)
-            yield from rows(keys[use], nodes[use], np.repeat(nodes[first], size)[use], upper[use])
+            yield from rows(keys[use], nodes[use], flags[use])
 
     dealt = texts.mapInArrow(deal, "bin int, data binary").repartition(parts, "bin").sortWithinPartitions("bin")
-    return dealt.mapInArrow(count, "key long, node long, leader long, upper boolean")
+    return dealt.mapInArrow(count, "key long, node long, upper boolean, need tinyint")
+
+
+def _enough(dealt: DataFrame) -> DataFrame:
+    """``key, node, leader`` of the keys that two nodes still have when nodes with fewer keys in common than they need are gone.
+
+    Rows that come up twice (members of hot keys) only ever count in favour of a node. leader is the least node of a key.
+    """
+    enough = dealt.groupBy("node", "upper").agg(F.count("*").alias("has"), F.max("need").alias("need")).where("has >= need").select(F.struct("node", "upper").alias("at"))
+    rows = dealt.select(F.struct("node", "upper").alias("at"), "key").join(enough, "at", "left_semi").select("key", "at.node", "at.upper")
+    kinds = rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.min("upper").alias("upper"))
+    kinds = kinds.where("leader <> last AND NOT upper").select(F.struct("key").alias("at"), "leader")
+    return rows.select(F.struct("key").alias("at"), "node").join(kinds, "at").select("at.key", "node", "leader").distinct()
 
 
 def _candidate_sets(source: DataFrame, named: DataFrame, shared: DataFrame, words: int) -> DataFrame:
@@ -340,8 +362,7 @@ def _most_apart(na: int, nb: int, percent: int) -> int:
 def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` that link. Sizes and sketches first, then the sets of those that are left.
 
-    ``a`` is the leader of a group, so it may be hot: that join shuffles both sides, which AQE can split. The join by ``b`` reads the
-    members as they are bucketed.
+    ``a`` is the leader of a group, so it may be hot: joins shuffle both sides as they are, which AQE can split.
     """
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
