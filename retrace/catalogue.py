@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from retrace.functions import values as V
 from retrace.functions.sqlshape import with_shapes
 from retrace.operators import coalesce as C
+from retrace.operators import drafts
 from retrace.operators import links as L
 from retrace.operators import replay as R
 from retrace.operators import write as W
@@ -231,6 +232,10 @@ pipeline("agg_normalize_percent", "normalize", lambda: {"buckets_path": "total",
 pipeline("agg_ks_test", "bucket_count_ks_test", lambda: {"buckets_path": "_count"}, f"SELECT {DAY_SQL}, round(max(abs(a)) OVER (), 6) AS p FROM (SELECT day, sum(doc_count) OVER w / sum(doc_count) OVER () - row_number() OVER w / count(*) OVER () AS a FROM days WINDOW w AS (ORDER BY day))", lambda: [F.round("p_two_sided", 6).alias("p")])
 aggregated("agg_stats_bucket", lambda: {"day": {**DAY, "aggs": {"total": {"sum": {"field": "k"}}}}, "of": {"stats_bucket": {"buckets_path": "day>total"}}}, f'{DAYS} SELECT count(total) AS "count", CAST(min(total) AS BIGINT) AS "min", CAST(max(total) AS BIGINT) AS "max", round(avg(total), 6) AS "avg", CAST(sum(total) AS BIGINT) AS "sum" FROM days', key="of", pick=lambda: ["count", "min", "max", F.round("avg", 6).alias("avg"), "sum"])
 aggregated("agg_max_bucket", lambda: {"day": DAY, "of": {"max_bucket": {"buckets_path": "day>_count"}}}, f"{DAYS} SELECT max(doc_count) AS value FROM days", key="of")
+aggregated("agg_avg_bucket", lambda: {"day": DAY, "of": {"avg_bucket": {"buckets_path": "day>_count"}}}, f"{DAYS} SELECT round(avg(doc_count), 6) AS value FROM days", key="of", pick=lambda: [F.round("value", 6).alias("value")])
+aggregated("agg_min_bucket", lambda: {"day": DAY, "of": {"min_bucket": {"buckets_path": "day>_count"}}}, f"{DAYS} SELECT min(doc_count) AS value FROM days", key="of")
+aggregated("agg_sum_bucket", lambda: {"day": DAY, "of": {"sum_bucket": {"buckets_path": "day>_count"}}}, f"{DAYS} SELECT CAST(sum(doc_count) AS BIGINT) AS value FROM days", key="of")
+aggregated("agg_percentiles_bucket", lambda: {"day": DAY, "of": {"percentiles_bucket": {"buckets_path": "day>_count", "percents": [25, 50]}}}, f"{DAYS} SELECT round(quantile_cont(doc_count, 0.25), 6) AS p25, round(quantile_cont(doc_count, 0.5), 6) AS p50 FROM days", key="of", pick=lambda: [F.round(F.get("value", F.lit(0)), 6).alias("p25"), F.round(F.get("value", F.lit(1)), 6).alias("p50")])
 
 # Coalescing: steps are the history of a day, one frame a day.
 PAIR = "struct<pair:boolean,old:string,new:string,raw:string>"
@@ -340,6 +345,7 @@ def statements(spark: SparkSession, sf_dir: str, connections: int = 1) -> DataFr
 
 
 ACCT = R.Mapped("acct", "account", ("user_id",), (("value", "value"),))
+ALWAYS = R.Mapped("acct", "account", ("user_id",), (("value", "value"),), always=("user_id",))
 
 
 def replayed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -356,6 +362,17 @@ def tx_fate(spark, sf_dir):
     return fates(statements(spark, sf_dir, 4)).select("seq", "fate", "owner")
 
 
+@register("tx_savepoints", f"WITH {STMTS}, n AS (SELECT *, count(*) OVER (PARTITION BY flush) = 20 AS whole, event_id % 20 AS i FROM stmts) SELECT seq, CASE WHEN voided OR whole AND flush % 3 = 0 AND i BETWEEN 5 AND 11 THEN 'VOID' ELSE 'COMMITTED' END AS fate, flush AS owner FROM n", plain=True)
+def tx_savepoints(spark, sf_dir):
+    """Each full transaction sets a savepoint twice under one name; every third goes back to the inner one and on from there, every seventh is rolled back."""
+    log = statements(spark, sf_dir, 4)
+    full = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 20).alias("tx")).groupBy("tx").agg(F.count("*").alias("n")).where("n = 20")
+    at = lambda i, sql: F.struct((F.col("tx") * 200 + i * 10).alias("seq"), sql.alias("sql"))
+    marks = full.select("tx", F.explode(F.array(at(2, F.lit("SAVEPOINT sp")), at(5, F.lit("SAVEPOINT sp")), at(12, F.when(F.col("tx") % 3 == 0, "ROLLBACK TO SAVEPOINT sp").otherwise("RELEASE SAVEPOINT sp")))).alias("m"))
+    marks = marks.select(F.concat(F.lit("c"), (F.col("tx") % 4).cast("string")).alias("connection"), "m.seq", "m.sql", F.lit(None).cast("array<string>").alias("params"), F.lit(None).cast("long").alias("flush"), F.lit(None).cast("long").alias("affected"), F.lit(False).alias("failed"), F.lit("statement").alias("kind"), F.lit(None).cast("string").alias("generated_key"))
+    return fates(log.unionByName(marks)).where("owner IS NOT NULL").select("seq", "fate", "owner")
+
+
 REPLAY = f"""WITH {STMTS}, live AS (SELECT * FROM stmts WHERE NOT voided),
   st AS (SELECT *, last_value(CASE event_type WHEN 'signup' THEN 'there' WHEN 'error' THEN 'gone' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY seq) AS life FROM live),
   v AS (SELECT *, lag(CASE WHEN event_type <> 'error' THEN value END) OVER (PARTITION BY user_id, life ORDER BY seq) AS old FROM st WHERE event_type = 'signup' OR before = 'there')"""
@@ -374,6 +391,24 @@ def replay_records(spark, sf_dir):
     return R.records(R.field_changes(states)).select("seq", "flush", "objectId", "event")
 
 
+@register("replay_context", f"{REPLAY} SELECT seq, CAST(user_id AS VARCHAR) AS \"objectId\", CAST(user_id AS VARCHAR) AS owner, value FROM v WHERE event_type = 'signup' OR event_type <> 'error' AND old <> value", plain=True)
+def replay_context(spark, sf_dir):
+    """Records with the user as a field that is always recorded, as the row's image had it, among images of another type with the same keys."""
+    _, states = replayed(spark, sf_dir)
+    images = R.versions(states)
+    other = images.withColumn("objectType", F.lit("cart")).withColumn("root", F.lit("carts")).withColumn("row", F.create_map(F.lit("user_id"), F.lit("wrong")))
+    out = drafts.with_context(R.records(R.field_changes(states)), images.unionByName(other), drafts.always_of([ALWAYS]))
+    new = lambda c: F.try_element_at("changes", F.lit(c))["new"]
+    return out.where("event <> 'remove'").select("seq", "objectId", new("user_id").alias("owner"), new("value").cast("double").alias("value"))
+
+
+@register("executions", "WITH s AS (SELECT user_id % 4 AS c, event_id, event_id // 20 AS flush, user_id % 2 AS key, event_id % 2 AS root FROM events), b AS (SELECT *, CASE WHEN lag(key) OVER w = key AND lag(flush) OVER w = flush AND lag(root) OVER w <> root THEN 0 ELSE 1 END AS brk FROM s WINDOW w AS (PARTITION BY c ORDER BY event_id)) SELECT 'c' || c AS connection, event_id AS seq, CAST(sum(brk) OVER (PARTITION BY c ORDER BY event_id) AS BIGINT) AS execution FROM b", plain=True)
+def executions(spark, sf_dir):
+    """Statements on two tables of one hierarchy: neighbours on one object, of one flush and on different tables, are one execution."""
+    e = table(spark, sf_dir, "events")
+    return R.executions(e.select(F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string")).alias("connection"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 20).alias("flush"), F.lit("oven").alias("objectType"), (F.col("user_id") % 2).cast("string").alias("key"), F.lit("UPDATE").alias("statement"), (F.col("event_id") % 2).cast("string").alias("root"))).select("connection", "seq", "execution")
+
+
 @register("replay_doubts", f"{REPLAY} SELECT seq, flush, 'the row was not known' AS text FROM st WHERE event_type <> 'signup' AND before IS NULL", plain=True)
 def replay_doubts(spark, sf_dir):
     rows, states = replayed(spark, sf_dir)
@@ -425,17 +460,32 @@ def link_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lit("order_supplier").alias("association"), F.col("l_orderkey").cast("string").alias("owner"), "seq", F.year("l_shipdate").cast("long").alias("flush"), F.when(toggle % 2 == 1, "add").otherwise("remove").alias("kind"), F.col("l_suppkey").cast("string").alias("target"), F.lit(None).cast("boolean").alias("observed"))
 
 
-@register("link_runs", None)
+@register("link_runs", f"""WITH RECURSIVE {ELEMS}, s AS (SELECT l_orderkey, seq, year(l_shipdate) AS flush, l_suppkey AS t, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY seq) AS n FROM el),
+  r AS (SELECT l_orderkey, seq, flush, t, 0 AS run, [t] AS met, CAST([] AS BIGINT[]) AS before, [t] AS held FROM s WHERE seq = 1
+    UNION ALL SELECT l_orderkey, seq, flush, t, CASE WHEN fresh THEN run + 1 ELSE run END, CASE WHEN fresh THEN [t] ELSE list_append(met, t) END, CASE WHEN fresh THEN held ELSE before END, CASE WHEN list_contains(held, t) THEN list_filter(held, lambda x: x <> t) ELSE list_append(held, t) END
+      FROM (SELECT s.l_orderkey, s.seq, s.flush, s.t, r.run, r.met, r.before, r.held, s.flush <> r.flush OR list_contains(r.met, s.t) AS fresh FROM r JOIN s ON s.l_orderkey = r.l_orderkey AND s.seq = r.seq + 1))
+  SELECT CAST(l_orderkey AS VARCHAR) AS owner, any_value(flush) AS flush, min(seq) AS since, run, array_to_string(list_sort(arg_max(before, seq)), ',') AS old, array_to_string(list_sort(arg_max(held, seq)), ',') AS new FROM r GROUP BY l_orderkey, run""", plain=True)
 def link_runs(spark, sf_dir):
     """Runs by the account fold, from empty accounts."""
     steps_ = link_steps(spark, sf_dir)
     accounts = steps_.select("association", "owner", F.array().cast("array<string>").alias("targets")).distinct()
-    return L.runs_of(steps_, accounts)
+    return L.runs_of(steps_, accounts).select("owner", "flush", "since", "run", F.array_join("old", ",").alias("old"), F.array_join("new", ",").alias("new"))
+
+
+@register("element_runs", f"""WITH RECURSIVE {ELEMS}, s AS (SELECT l_orderkey, year(l_shipdate) AS flush, seq, 'lines.' || l_linenumber AS name, row_number() OVER (PARTITION BY l_orderkey, year(l_shipdate) ORDER BY seq) AS n FROM el),
+  r AS (SELECT *, 1 AS run, [name] AS met FROM s WHERE n = 1
+    UNION ALL SELECT s.*, CASE WHEN list_contains(met, s.name) THEN run + 1 ELSE run END, CASE WHEN list_contains(met, s.name) THEN [s.name] ELSE list_append(met, s.name) END FROM r JOIN s ON s.l_orderkey = r.l_orderkey AND s.flush = r.flush AND s.n = r.n + 1)
+  SELECT CAST(l_orderkey AS VARCHAR) AS "objectId", flush, run, min(seq) AS since, string_agg(name, ',' ORDER BY name) AS names FROM r GROUP BY l_orderkey, flush, run""", plain=True)
+def element_runs(spark, sf_dir):
+    """Changes of lines as runs of their order: a line met again begins the next run. A flush is a year of shipping."""
+    rows = line_log(spark, sf_dir)
+    changes = rows.select(F.lit("order").alias("objectType"), F.col("l_orderkey").cast("string").alias("objectId"), F.year("l_shipdate").cast("long").alias("flush"), "seq", F.concat(F.lit("lines."), F.col("l_linenumber").cast("string")).alias("name"), F.lit(None).cast("string").alias("old"), F.col("l_quantity").cast("string").alias("new"))
+    return drafts.element_runs(changes).select("objectId", "flush", "run", "since", F.array_join(F.array_sort(F.map_keys("changes")), ",").alias("names"))
 
 
 @register("link_net_changes", f"""WITH {ELEMS}, t AS (SELECT *, CAST(l_suppkey AS VARCHAR) AS target, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY seq) AS n, year(l_shipdate) AS flush FROM el),
   p AS (SELECT l_orderkey, flush, target, arg_min(n, seq) % 2 = 0 AS before, arg_max(n, seq) % 2 = 1 AS after FROM t GROUP BY 1, 2, 3)
-  SELECT CAST(l_orderkey AS VARCHAR) AS owner, flush, coalesce(string_agg(target, ',' ORDER BY target) FILTER (before), '') AS old, coalesce(string_agg(target, ',' ORDER BY target) FILTER (after), '') AS new FROM p WHERE before <> after GROUP BY 1, 2""", plain=True)
+  SELECT CAST(l_orderkey AS VARCHAR) AS owner, flush, coalesce(string_agg(target, ',' ORDER BY CAST(target AS BIGINT)) FILTER (before), '') AS old, coalesce(string_agg(target, ',' ORDER BY CAST(target AS BIGINT)) FILTER (after), '') AS new FROM p WHERE before <> after GROUP BY 1, 2""", plain=True)
 def link_net_changes(spark, sf_dir):
     out = L.net_links(link_steps(spark, sf_dir))
     return out.select("owner", "flush", F.array_join("old", ",").alias("old"), F.array_join("new", ",").alias("new"))

@@ -7,14 +7,14 @@ valve. ``fold_frames`` is an ordered fold per frame, for frames that hold more o
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retrace.errors import FrameOverflow
 from retrace.functions.values import same
+from retrace.operators.folds import fold_ordered
 
 MAX_HELD = 10_000
 OBJECT = ["frame", "objectType", "objectId"]
@@ -83,100 +83,139 @@ def crowded_frames(steps: DataFrame, max_held: int = MAX_HELD) -> DataFrame:
     return steps.groupBy("frame").agg(F.count_distinct("objectType", "objectId").alias("objects")).where(F.col("objects") > max_held).select("frame")
 
 
-def fold(rows: Sequence[dict], max_held: int = MAX_HELD, atomic: bool = False, comparator: Callable[[str, str, str | None, str | None], bool | None] | None = None) -> list[dict]:
+class Fold:
     """One frame in order, record by record, with its valve. ``changes`` are dicts of field to {pair, old, new, raw}.
 
     The valve: a new object that would be one too many first releases all that is held. An atomic frame stages what it
     releases early, counts it towards the valve, and fails whole when it overflows.
     """
-    held: dict[tuple, dict] = {}
-    out: list[dict] = []
 
-    def agrees(record: dict, field: str, old: str | None, new: str | None) -> bool:
-        said = comparator(record["objectType"], field, old, new) if comparator else None
+    def __init__(self, max_held: int = MAX_HELD, atomic: bool = False, comparator: Callable[[str, str, str | None, str | None], bool | None] | None = None):
+        self.max_held, self.atomic, self.comparator = max_held, atomic, comparator
+        self.held: dict[tuple, dict] = {}
+        self.out: list[dict] = []
+
+    def agrees(self, record: dict, field: str, old: str | None, new: str | None) -> bool:
+        said = self.comparator(record["objectType"], field, old, new) if self.comparator else None
         return old == new if said is None else said
 
-    def release(record: dict) -> None:
+    def release(self, record: dict) -> None:
         changes, changed = {}, False
         for name, change in record["changes"].items():
-            equal = change["pair"] and agrees(record, name, change["old"], change["new"])
+            equal = change["pair"] and self.agrees(record, name, change["old"], change["new"])
             if equal and record["moved"].get(name):
                 continue
             changed = changed or not equal
             changes[name] = change
         if changed or record["event"] != "update":
-            out.append({**record, "changes": changes})
+            self.out.append({**{k: v for k, v in record.items() if k != "moved"}, "changes": changes})
+
+    def release_all(self) -> None:
+        for record in self.held.values():
+            self.release(record)
+        self.held.clear()
 
+    @staticmethod
     def strict(changes: dict) -> dict[str, bool]:
         return {k: bool(c["pair"] and c["old"] != c["new"]) for k, c in changes.items()}
 
-    def merge(record: dict, step: dict) -> None:
+    def merge(self, record: dict, step: dict) -> None:
         for name, change in step["changes"].items():
             now = record["changes"].get(name)
             if now is not None and now["pair"] and change["pair"]:
                 record["changes"][name] = {**change, "old": now["old"]}
             else:
                 record["changes"][name] = change
-            record["moved"][name] = record["moved"].get(name, False) or strict({name: change})[name]
+            record["moved"][name] = record["moved"].get(name, False) or self.strict({name: change})[name]
         record["attributes"] = {**record["attributes"], **step["attributes"]}
 
-    for step in rows:
+    def check(self, more: int = 0) -> None:
+        if self.atomic and len(self.held) + len(self.out) + more > self.max_held:
+            raise FrameOverflow(f"more than {self.max_held} records in an atomic frame")
+
+    def step(self, step: dict) -> None:
         key = (step["objectType"], step["objectId"])
         step = {**step, "changes": dict(step["changes"]), "attributes": dict(step["attributes"])}
         if step["event"] == "remove":
-            if key in held:
-                release(held.pop(key))
-            out.append(step)
-            if atomic and len(held) + len(out) > max_held:
-                raise FrameOverflow(f"more than {max_held} records in an atomic frame")
-            continue
-        if key in held:
-            now = held[key]
+            if key in self.held:
+                self.release(self.held.pop(key))
+            self.out.append(step)
+            self.check()
+            return
+        if key in self.held:
+            now = self.held[key]
             if now["actor"] == step["actor"]:
-                merge(now, step)
-                continue
-            release(now)
-            held[key] = {**step, "moved": strict(step["changes"])}
-            if atomic and len(held) + len(out) > max_held:
-                raise FrameOverflow(f"more than {max_held} records in an atomic frame")
-            continue
-        if len(held) + (len(out) if atomic else 0) >= max_held:
-            if atomic:
-                raise FrameOverflow(f"more than {max_held} records in an atomic frame")
-            for record in held.values():
-                release(record)
-            held.clear()
-        held[key] = {**step, "moved": strict(step["changes"])}
-    for record in held.values():
-        release(record)
-    return [{k: v for k, v in r.items() if k != "moved"} for r in out]
+                self.merge(now, step)
+                return
+            self.release(now)
+            self.held[key] = {**step, "moved": self.strict(step["changes"])}
+            self.check()
+            return
+        self.check(1)
+        if not self.atomic and len(self.held) >= self.max_held:
+            self.release_all()
+        self.held[key] = {**step, "moved": self.strict(step["changes"])}
+
+
+def released(rows: Iterable[dict], max_held: int = MAX_HELD, atomic: bool = False, comparator: Callable[[str, str, str | None, str | None], bool | None] | None = None) -> Iterator[dict]:
+    """``Fold`` over the rows of one frame: records as they are released, of an atomic frame all at its end or none."""
+    state = Fold(max_held, atomic, comparator)
+    for row in rows:
+        state.step(row)
+        if not atomic:
+            yield from state.out
+            state.out.clear()
+    state.release_all()
+    yield from state.out
+
+
+def fold(rows: Iterable[dict], max_held: int = MAX_HELD, atomic: bool = False, comparator: Callable[[str, str, str | None, str | None], bool | None] | None = None) -> list[dict]:
+    """All that one frame releases."""
+    return list(released(rows, max_held, atomic, comparator))
 
 
 FOLDED = "frame string, objectType string, objectId string, event string, actor string, id string, loggedAt string, seq long, changes string, attributes string, place long, failure string"
 
 
-def frame_of(rows: list[dict]) -> pd.DataFrame:
-    """Rows as a table of FOLDED, missing values as nulls."""
-    names = [c.split()[0] for c in FOLDED.split(", ")]
-    return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype="Int64" if n in ("seq", "place") else object) for n in names})
-
-
 def fold_frames(steps: DataFrame, max_held: int = MAX_HELD, atomic: bool = False, comparator: Callable[..., bool | None] | None = None) -> DataFrame:
     """``fold`` for every frame: changes and attributes come back as JSON, place counts in the frame. An overflown atomic frame is one row with its failure.
 
-    A frame is one unit of work, read in order by one task; give it the crowded frames only.
+    A frame is one unit of work, read in order by one task, which holds no more of it than the frame may; give it the crowded frames only.
     """
     rows = steps.select(F.col("frame").cast("string").alias("frame"), "objectType", "objectId", "event", "actor", "id", F.col("loggedAt").cast("string").alias("loggedAt"), "seq", F.to_json("changes", {"ignoreNullFields": "false"}).alias("changes"), F.to_json("attributes").alias("attributes"))
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        steps = [{**r, "changes": json.loads(r["changes"] or "{}"), "attributes": json.loads(r["attributes"] or "{}")} for r in frame.sort_values("seq").astype(object).where(lambda d: d.notna(), None).to_dict("records")]
+    def run(key: tuple, frame: Iterator[dict]) -> Iterator[tuple]:
+        steps = ({**r, "changes": json.loads(r["changes"] or "{}"), "attributes": json.loads(r["attributes"] or "{}")} for r in frame)
         try:
-            out = fold(steps, max_held, atomic, comparator)
+            for place, r in enumerate(released(steps, max_held, atomic, comparator)):
+                yield (key[0], *[r[n] for n in ("objectType", "objectId", "event", "actor", "id", "loggedAt", "seq")], json.dumps(r["changes"]), json.dumps(r["attributes"]), place, None)
         except FrameOverflow as e:
-            return frame_of([{"frame": key[0], "failure": str(e)}])
-        return frame_of([{**r, "changes": json.dumps(r["changes"]), "attributes": json.dumps(r["attributes"]), "place": i} for i, r in enumerate(out)])
+            yield (key[0], *[None] * 10, str(e))
+
+    return fold_ordered(rows, ["frame"], ["seq"], run, FOLDED)
+
+
+def valve_turns(steps: DataFrame, max_held: int = MAX_HELD) -> DataFrame:
+    """``steps`` with ``turn``: how often the valve of its frame had opened before each record.
+
+    Between two openings a frame merges by its rules alone, so each turn is a frame of its own to ``coalesce_records``. A task holds the
+    names of the objects that are held, at most as many as may be.
+    """
 
-    return rows.groupBy("frame").applyInPandas(run, FOLDED)
+    def run(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
+        held, turn = set(), 0
+        for r in rows:
+            own = (r["objectType"], r["objectId"])
+            if r["event"] == "remove":
+                held.discard(own)
+            elif own not in held:
+                if held and len(held) >= max_held:
+                    held, turn = set(), turn + 1
+                held.add(own)
+            yield key[0], r["seq"], turn
+
+    seen = fold_ordered(steps.select("frame", "objectType", "objectId", "event", "seq"), ["frame"], ["seq"], run, "frame string, seq long, turn int")
+    return steps.join(seen, ["frame", "seq"])
 
 
 def coalesce_valved(steps: DataFrame, max_held: int = MAX_HELD) -> DataFrame:

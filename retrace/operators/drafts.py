@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator, Sequence
+from typing import Any
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from retrace.operators.folds import fold_ordered
+from retrace.operators.replay import Mapped, as_of
+
 CHANGES = "map<string,struct<pair:boolean,old:string,new:string,raw:string>>"
 
 
@@ -13,16 +19,24 @@ def _pairs(old: str, new: str):
 
 
 def element_runs(changes: DataFrame) -> DataFrame:
-    """``objectType, objectId, flush, since, run, changes`` of element changes: a change key that repeats in a flush begins the next run.
+    """``objectType, objectId, flush, since, run, changes`` of element changes: a change key that the current run has begins the next one.
 
-    Changes without a flush belong to nobody and are left out.
+    Changes without a flush belong to nobody and are left out. Where a run begins follows from all before it, so runs are numbered in order,
+    with the keys of one run in memory.
     """
-    own = Window.partitionBy("objectType", "objectId", "flush", "name").orderBy("seq")
-    numbered = changes.where(F.col("flush").isNotNull()).withColumn("run", F.row_number().over(own))
-    # a run ends for all keys when one repeats, so a key's run is the largest number met so far in the owner's flush
-    order = Window.partitionBy("objectType", "objectId", "flush").orderBy("seq", "name")
-    numbered = numbered.withColumn("run", F.max("run").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("objectType", "objectId", "flush", "run").agg(F.min("seq").alias("since"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", _pairs("old", "new").alias("change"))))).alias("changes"))
+
+    def number(key: tuple, rows: Iterator[dict[str, Any]]) -> Iterable[tuple]:
+        run, met = 1, set()
+        for r in rows:
+            if r["name"] in met:
+                run, met = run + 1, set()
+            met.add(r["name"])
+            yield (*key, run, r["seq"], r["name"], r["old"], r["new"])
+
+    of = ["objectType", "objectId", "flush"]
+    rows = changes.where(F.col("flush").isNotNull()).select(*of, "seq", "name", "old", "new")
+    numbered = fold_ordered(rows, of, ["seq", "name", "old", "new"], number, "objectType string, objectId string, flush long, run int, seq long, name string, old string, new string")
+    return numbered.groupBy(*of, "run").agg(F.min("seq").alias("since"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", _pairs("old", "new").alias("change"))))).alias("changes"))
 
 
 def link_changes(runs: DataFrame, object_type: str, field: str) -> DataFrame:
@@ -53,20 +67,31 @@ def drafts(records: DataFrame, *runs: DataFrame) -> DataFrame:
     return base.select("objectType", "objectId", "flush", "event", "since", "changes")
 
 
+def always_of(mappings: Sequence[Mapped]) -> dict[str, list[str]]:
+    """The columns that declarations always record, by object type."""
+    out: dict[str, list[str]] = {}
+    for m in mappings:
+        out.setdefault(m.object_type, []).extend(m.always)
+    return out
+
+
 def with_context(records: DataFrame, versions: DataFrame, always: dict[str, list[str]]) -> DataFrame:
     """Adds the fields that are always recorded to records in which something changed, as they stood at the record: old = new.
 
-    versions is a table of images (root, key, valid_from, valid_to, row); a record meets the image that holds at its place.
+    versions is a table of images (objectType, key, valid_from, valid_to, row); a record meets the image of its own type that holds at its
+    place, the latest one if there are several. One window carries it forward: one row out for each record.
     """
-    rows = F.col("v.row")
-    out = records.alias("r").join(versions.alias("v"), (F.col("r.objectId") == F.col("v.key")) & (F.col("v.valid_from") <= F.col("r.seq")) & (F.col("v.valid_to").isNull() | (F.col("r.seq") < F.col("v.valid_to"))), "left")
+    images = versions.select("objectType", F.col("key").alias("objectId"), "valid_from", "valid_to", "row")
+    out = as_of(records, images, ["objectType", "objectId"], "seq", "valid_from", ["row", "valid_to"])
+    rows = F.when(F.col("valid_to").isNull() | (F.col("seq") < F.col("valid_to")), F.col("row"))
     context = F.create_map().cast(CHANGES)
     for kind, fields in always.items():
-        entries = F.map_from_entries(F.array(*[F.struct(F.lit(f).alias("key"), _pairs(F.try_element_at(rows, F.lit(f)), F.try_element_at(rows, F.lit(f))).alias("value")) for f in fields]))
-        context = F.when(F.col("r.objectType") == kind, F.map_filter(entries, lambda k, c: c["old"] != "null")).otherwise(context)
-    own = F.col("r.changes")
+        if fields:
+            entries = F.map_from_entries(F.array(*[F.struct(F.lit(f).alias("key"), _pairs(F.try_element_at(rows, F.lit(f)), F.try_element_at(rows, F.lit(f))).alias("value")) for f in dict.fromkeys(fields)]))
+            context = F.when(F.col("objectType") == kind, F.map_filter(entries, lambda k, c: c["old"] != "null")).otherwise(context)
+    own = F.col("changes")
     merged = F.when(F.size(own) > 0, F.map_concat(own, F.map_filter(context, lambda k, _: ~F.map_contains_key(own, k)))).otherwise(own)
-    return out.select(*[merged.alias("changes") if c == "changes" else F.col(f"r.{c}") for c in records.columns])
+    return out.select(*[merged.alias("changes") if c == "changes" else F.col(c) for c in records.columns])
 
 
 def nobodys(bound: DataFrame, owners: DataFrame) -> DataFrame:

@@ -6,14 +6,16 @@ value of a column is the last one the log or a first account gave it. What can't
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retrace.errors import InvalidDeclaration
 from retrace.functions.values import composite_id, element_key
+from retrace.operators.folds import fold_ordered
 
 
 @dataclass(frozen=True)
@@ -30,6 +32,7 @@ class Mapped:
     owner_type: str | None = None
     version: str | None = None
     root: str | None = None  # tables of one hierarchy share a root
+    references: tuple[str, ...] = ()  # foreign keys of single related rows
 
     def __post_init__(self) -> None:
         if not self.key or not self.object_type:
@@ -40,8 +43,8 @@ class Mapped:
 
 def mapping_table(spark: SparkSession, mappings: Sequence[Mapped]) -> DataFrame:
     """The declarations as a table, one row each: their number is fixed by the program, so it is broadcast."""
-    rows = [(m.table.rpartition(".")[2].lower(), m.root or m.table, m.object_type, list(m.key), dict(m.fields), list(m.always), m.owner_key, m.collection, m.owner_type, m.version) for m in mappings]
-    return F.broadcast(spark.createDataFrame(rows, "mapped string, root string, objectType string, keys array<string>, fields map<string,string>, always array<string>, owner_key string, collection string, owner_type string, version string"))
+    rows = [(m.table.rpartition(".")[2].lower(), m.root or m.table, m.object_type, list(m.key), dict(m.fields), list(m.always), m.owner_key, m.collection, m.owner_type, m.version, list(m.references)) for m in mappings]
+    return F.broadcast(spark.createDataFrame(rows, "mapped string, root string, objectType string, keys array<string>, fields map<string,string>, always array<string>, owner_key string, collection string, owner_type string, version string, references array<string>"))
 
 
 def bound(statements: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -65,7 +68,7 @@ def bound(statements: DataFrame, mapping: DataFrame) -> DataFrame:
     key = F.when(insert, joined(key_of(values))).when(whole, joined(F.transform(F.col("keys"), lambda k: plain(F.element_at(where, k)))))
     binding = F.when(F.col("shape").isNull(), "UNBOUND").when(key.isNotNull(), "ROW").when(of_owner, "ROWS_OF_OWNER").otherwise("UNBOUND")
     reason = F.when(F.col("shape").isNull(), "unreadable").when(binding == "UNBOUND", "condition is not the key")
-    return out.select("connection", "seq", "flush", "affected", "root", "objectType", "fields", "always", "owner_key", "collection", "owner_type", F.col("shape.kind").alias("statement"), binding.alias("binding"), key.alias("key"), F.when(binding == "ROWS_OF_OWNER", plain(F.element_at(where, F.col("owner_key")))).alias("of_owner"), values.alias("set"), reason.alias("reason"))
+    return out.select("connection", "seq", "flush", "affected", "root", "objectType", "fields", "always", "references", "owner_key", "collection", "owner_type", F.col("shape.kind").alias("statement"), binding.alias("binding"), key.alias("key"), F.when(binding == "ROWS_OF_OWNER", plain(F.element_at(where, F.col("owner_key")))).alias("of_owner"), values.alias("set"), reason.alias("reason"))
 
 
 def row_states(rows: DataFrame, initial: DataFrame | None = None) -> DataFrame:
@@ -83,13 +86,24 @@ def row_states(rows: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     return out.withColumn("life", F.sum(born.cast("int")).over(own))
 
 
+def touched(counts_changed_rows: bool = False) -> Column:
+    """Whether a statement touched its row by the count it gave; no count says yes.
+
+    Where a store counts changed rows instead of matched ones, an UPDATE that counts none may have set what was there already: it stands.
+    """
+    none = F.coalesce(F.col("affected") == 0, F.lit(False))
+    return ~none | (F.col("statement") == "UPDATE") if counts_changed_rows else ~none
+
+
 def field_changes(states: DataFrame, counts_changed_rows: bool = False) -> DataFrame:
     """``connection, seq, flush, root, objectType, key, statement, column, field, old, new`` of every audited column that changed.
 
     An INSERT has no old values, an UPDATE only columns that differ strictly, a DELETE the last value of every audited column. A statement
-    that touched no row, or a row that is gone, has none; one on an unknown row has none and is a doubt.
+    that touched no row, or a row that is gone, has none; one on an unknown row has none and is a doubt. With ``counts_changed_rows`` an
+    UPDATE that counts no row is one that found its values there: what it says of columns that were not known is taken as known from then on, and is no change.
     """
-    live = states.where((F.col("statement").isin("INSERT", "INITIAL")) | ((F.col("before") == "there") & ~F.coalesce(F.col("affected") == 0, F.lit(False))))
+    live = states.where((F.col("statement").isin("INSERT", "INITIAL")) | ((F.col("before") == "there") & touched(counts_changed_rows)))
+    idle = F.coalesce(F.col("affected") == 0, F.lit(False))
     # a delete says something about every audited column of the row
     said = F.when(F.col("statement") == "DELETE", F.transform_values("fields", lambda k, v: F.lit(None).cast("string"))).otherwise(F.col("set"))
     long = live.select("*", F.explode(said).alias("column", "new"))
@@ -97,8 +111,9 @@ def field_changes(states: DataFrame, counts_changed_rows: bool = False) -> DataF
     known = F.struct("new")
     old = F.last(F.when(F.col("statement") != "DELETE", known), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
     long = long.withColumn("_old", old).withColumn("old", F.col("_old.new"))
-    kept = long.where((F.col("statement") == "INSERT") | ((F.col("statement") == "DELETE") & F.col("_old").isNotNull()) | ((F.col("statement") == "UPDATE") & ~F.col("old").eqNullSafe(F.col("new"))))
-    return kept.withColumn("field", F.element_at("fields", F.col("column"))).select("connection", "seq", "flush", "root", "objectType", "key", "statement", "owner_key", "collection", "owner_type", "fields", "always", "column", "field", "old", "new")
+    kept = long.where((F.col("statement") == "INSERT") | ((F.col("statement") == "DELETE") & F.col("_old").isNotNull()) | ((F.col("statement") == "UPDATE") & ~F.col("old").eqNullSafe(F.col("new")) & ~idle))
+    extra = [c for c in ("references",) if c in states.columns]
+    return kept.withColumn("field", F.element_at("fields", F.col("column"))).select("connection", "seq", "flush", "root", "objectType", "key", "statement", "owner_key", "collection", "owner_type", "fields", "always", *extra, "column", "field", "old", "new")
 
 
 def doubts(bound_rows: DataFrame, states: DataFrame) -> DataFrame:
@@ -123,8 +138,8 @@ def executions(changes: DataFrame) -> DataFrame:
 def records(changes: DataFrame, flushes: DataFrame | None = None, by: Sequence[str] = ("connection", "seq")) -> DataFrame:
     """One record per execution (or statement): create, update or remove, with old and new of each audited field.
 
-    ``always`` fields join an update as context, old = new as they stood. A remove carries no changes. flushes
-    (flush, at, actor, attributes) give time, actor and attributes.
+    A remove carries no changes. flushes (flush, at, actor, attributes) give time, actor and attributes. Fields that are always recorded
+    join by ``drafts.with_context``.
     """
     event = F.when(F.col("statement") == "INSERT", "create").when(F.col("statement") == "UPDATE", "update").otherwise("remove")
     change = F.struct(F.lit(True).alias("pair"), F.coalesce("old", F.lit("null")).alias("old"), F.coalesce("new", F.lit("null")).alias("new"), F.lit(None).cast("string").alias("raw"))
@@ -135,21 +150,31 @@ def records(changes: DataFrame, flushes: DataFrame | None = None, by: Sequence[s
     return out
 
 
-def completed_creates(changes: DataFrame) -> DataFrame:
-    """Folds an INSERT and the UPDATE that fills its foreign keys into one create.
+def completed_creates(changes: DataFrame, begins: DataFrame | None = None) -> DataFrame:
+    """Folds an INSERT and the UPDATEs that fill its foreign keys into one create.
 
-    The update belongs if it follows in the same flush and all it sets were set to null by the insert.
+    An update belongs if it follows in the same flush, no flush began in between (``begins``: connection, seq of the marks), and all it sets
+    are declared ``references`` that the insert set to null.
     """
     own = Window.partitionBy("root", "key", "flush").orderBy("seq")
     born = F.last(F.when(F.col("statement") == "INSERT", F.col("seq")), ignorenulls=True).over(own)
     marked = changes.withColumn("_born", born)
-    fills = Window.partitionBy("root", "key", "seq")
-    only = F.min(F.coalesce(F.col("old") == "null", F.lit(False)).cast("int")).over(fills) == 1
-    belongs = (F.col("statement") == "UPDATE") & F.col("_born").isNotNull() & only
-    marked = marked.withColumn("_belongs", belongs).withColumn("seq", F.when(F.col("_belongs"), F.col("_born")).otherwise(F.col("seq"))).withColumn("statement", F.when(F.col("_belongs"), "INSERT").otherwise(F.col("statement")))
-    last = Window.partitionBy("root", "key", "seq", "column").orderBy(F.col("_belongs").desc())
+    if begins is None:
+        marked = marked.withColumn("_begun", F.lit(None).cast("long"))
+    else:
+        marked = as_of(marked, begins.select("connection", F.col("seq").alias("_begun")), ["connection"], "seq", "_begun", ["_begun"], strictly=True)
+    given = F.coalesce(F.array_contains("references", F.col("column")) & (F.col("old") == "null"), F.lit(False))
+    only = F.min(given.cast("int")).over(Window.partitionBy("root", "key", "seq")) == 1
+    belongs = (F.col("statement") == "UPDATE") & F.col("_born").isNotNull() & F.col("flush").isNotNull() & only & ~F.coalesce(F.col("_begun") > F.col("_born"), F.lit(False))
+    marked = marked.withColumn("_belongs", F.coalesce(belongs, F.lit(False)))
+    # what has been an update of its own ends the creation
+    life = Window.partitionBy("root", "key", "flush", "_born").orderBy("seq")
+    other = F.max(((F.col("statement") != "INSERT") & ~F.col("_belongs")).cast("int")).over(life)
+    marked = marked.withColumn("_belongs", F.col("_belongs") & (other == 0))
+    marked = marked.withColumn("_at", F.col("seq")).withColumn("seq", F.when(F.col("_belongs"), F.col("_born")).otherwise(F.col("seq"))).withColumn("statement", F.when(F.col("_belongs"), "INSERT").otherwise(F.col("statement")))
+    last = Window.partitionBy("root", "key", "seq", "column").orderBy(F.col("_at").desc())
     out = marked.withColumn("_rank", F.row_number().over(last)).where("_rank = 1")
-    return out.withColumn("old", F.when(F.col("statement") == "INSERT", F.lit(None)).otherwise(F.col("old"))).drop("_born", "_belongs", "_rank")
+    return out.withColumn("old", F.when(F.col("statement") == "INSERT", F.lit(None)).otherwise(F.col("old"))).drop("_born", "_begun", "_belongs", "_rank", "_at")
 
 
 def element_changes(changes: DataFrame) -> DataFrame:
@@ -189,13 +214,28 @@ def emptied(bound_rows: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def versions(states: DataFrame) -> DataFrame:
-    """``root, key, life, valid_from, valid_to, row``: every image of every row with the positions between which it stood."""
-    own = Window.partitionBy("root", "key", "life").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    live = states.where(F.col("statement").isin("INSERT", "INITIAL") | (F.col("before") == "there"))
-    images = live.withColumn("_sets", F.collect_list(F.when(F.col("statement") != "DELETE", F.col("set"))).over(own))
-    image = F.aggregate("_sets", F.create_map().cast("map<string,string>"), lambda acc, m: F.map_concat(F.map_filter(acc, lambda k, _: ~F.map_contains_key(m, k)), m))
-    until = F.lead("seq").over(Window.partitionBy("root", "key").orderBy("seq"))
-    return images.withColumn("row", image).withColumn("valid_to", until).where(F.col("statement") != "DELETE").select("root", "key", "life", F.col("seq").alias("valid_from"), "valid_to", "row")
+    """``root, objectType, key, life, valid_from, valid_to, row``: every image of every row with the positions between which it stood.
+
+    An image is the one before it with what a statement set, so a row's statements are read once, in order.
+    """
+
+    def images(key: tuple, rows: Iterator[dict[str, Any]]) -> Iterable[tuple]:
+        life = kind = last = None
+        image: dict[str, str | None] = {}
+        for r in rows:
+            if last is not None:
+                yield (*last[:5], r["seq"], last[5])
+            last, kind = None, kind or r["objectType"]
+            if r["life"] != life:
+                life, image = r["life"], {}
+            if r["statement"] != "DELETE":
+                image = {**image, **dict(r["set"] or ())}
+                last = (key[0], kind, key[1], life, r["seq"], list(image.items()))
+        if last is not None:
+            yield (*last[:5], None, last[5])
+
+    live = states.where(F.col("statement").isin("INSERT", "INITIAL") | (F.col("before") == "there")).select("root", "key", "objectType", "life", "seq", "statement", "set")
+    return fold_ordered(live, ["root", "key"], ["seq"], images, "root string, objectType string, key string, life long, valid_from long, valid_to long, row map<string,string>")
 
 
 def as_of(probes: DataFrame, facts: DataFrame, keys: Sequence[str], at: str, since: str, values: Sequence[str], strictly: bool = False) -> DataFrame:

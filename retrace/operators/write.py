@@ -47,8 +47,8 @@ class Writer:
     skip_empty_updates: bool = True
 
     def complete(self, records: DataFrame, run: str, now: Column | None = None) -> DataFrame:
-        """Fills time, actor and id; what a record has of its own wins. Adds the attributes of enrichers."""
-        now = F.lit("1970-01-01").cast("timestamp") if now is None else now
+        """Fills time (that of the batch unless ``now`` is given), actor and id; what a record has of its own wins. Adds the attributes of enrichers."""
+        now = F.current_timestamp() if now is None else now
         out = records.withColumn("loggedAt", F.coalesce("loggedAt", now)).withColumn("source", resolved_actor(F.col("source"), fallback=self.fallback_actor))
         if self.skip_empty_updates:
             out = out.where(~((F.col("event") == "update") & (F.size("changes") == 0)))

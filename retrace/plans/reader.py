@@ -200,7 +200,7 @@ class Reader:
             best = Window.partitionBy(body["collapse"]["field"]).orderBy(*order)
             rows = rows.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
         if body.get("search_after"):
-            rows = rows.where(after(Cursor(tuple(body["search_after"]), ""), query.newest_first))
+            rows = rows.where(after_values(body["sort"], body["search_after"]) if body.get("sort") else after(Cursor(tuple(body["search_after"]), ""), query.newest_first))
         rows = rows.orderBy(*order)
         if body.get("from"):
             rows = rows.offset(body["from"])
@@ -229,6 +229,19 @@ class Reader:
                 check_aggregations(body[key])
 
 
+def after_values(sort: Sequence[tuple[str, str]], values: Sequence[Any]) -> Column:
+    """Rows that stand after the given values of the sort fields, in the order of the sort: missing values come last either way."""
+    if len(values) != len(sort):
+        raise InvalidQuery("search_after has a value for each field of the sort")
+    out, equal = F.lit(False), F.lit(True)
+    for (name, direction), value in zip(sort, values):
+        column = F.col(name)
+        beyond = F.lit(False) if value is None else column.isNull() | (column > F.lit(value) if direction == "asc" else column < F.lit(value))
+        out = out | (equal & F.coalesce(beyond, F.lit(False)))
+        equal = equal & column.eqNullSafe(F.lit(value))
+    return out
+
+
 def hydrate(rows: DataFrame, declared: Sequence[str] = ()) -> DataFrame:
     """Stored rows of any age as entries: missing or unreadable values become defaults, each with a warning.
 

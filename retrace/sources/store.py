@@ -8,6 +8,7 @@ upsert a matter of reading: of the rows of one id the one of the latest commit c
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -59,6 +60,10 @@ class Files:
         fs.delete(p, True)
 
 
+#: Where the marks of commits are, beside the tables.
+UNITS = "_units"
+
+
 @dataclass
 class Store:
     spark: SparkSession
@@ -101,13 +106,16 @@ class Store:
         return self.spark.createDataFrame(rows, "table string, path string, problem string")
 
     def commits(self, name: str) -> list[str]:
+        """The commits of a table that count: those whose one mark, which all their tables share, is there."""
         found = self.files.names(f"{self.root}/{name}/commits")
-        return [c for c in found if self.files.exists(f"{self.root}/{name}/commits/{c}/done")]
+        marked = set(self.files.names(f"{self.root}/{UNITS}"))
+        return [c for c in found if c in marked]
 
     def read(self, name: str, commits: Sequence[str] | None = None) -> DataFrame:
         """The current rows: of each id the latest one. ``commits`` pins a snapshot.
 
-        Filters on the id, the type or the route reach the files; rows without an id all stay.
+        Filters on any column reach the files: which commit has the latest row of an id is found from ids and commits alone, and the rows
+        that pass are held against it. Rows without an id all stay.
         """
         schema = self.schema(name)
         commits = self.commits(name) if commits is None else list(commits)
@@ -116,8 +124,8 @@ class Store:
         rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("_commit", T.StringType())])).parquet(*[f"{self.root}/{name}/commits/{c}/data" for c in commits])
         if len(commits) == 1:
             return rows.drop("_commit")
-        last = Window.partitionBy("id").orderBy(F.col("_commit").desc())
-        known = rows.where("id IS NOT NULL").withColumn("_rank", F.row_number().over(last)).where("_rank = 1").drop("_rank")
+        last = rows.where("id IS NOT NULL").groupBy("id").agg(F.max("_commit").alias("_commit"))
+        known = rows.where("id IS NOT NULL").join(last, ["id", "_commit"], "left_semi").select(*rows.columns)
         return known.unionByName(rows.where("id IS NULL")).drop("_commit")
 
     def stage(self, rows: DataFrame, name: str, commit: str) -> None:
@@ -126,14 +134,15 @@ class Store:
         typed = [(F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields]
         rows.select(*typed, F.lit(commit).alias("_commit")).write.option("maxRecordsPerFile", self.max_records_per_file).mode("overwrite").parquet(f"{self.root}/{name}/commits/{commit}/data")
 
-    def publish(self, name: str, commit: str) -> None:
-        self.files.write(f"{self.root}/{name}/commits/{commit}/done", "")
+    def publish(self, commit: str) -> None:
+        """Makes a commit count in every table it was staged in, by writing one file: there is no moment at which some have it and some not."""
+        self.files.write(f"{self.root}/{UNITS}/{commit}", "")
 
     def discard(self, name: str, commit: str) -> None:
         self.files.remove(f"{self.root}/{name}/commits/{commit}")
 
     def upsert(self, records: DataFrame, routes: Sequence[str], commit: str) -> None:
-        """Writes routed records (column ``route``), one commit per table: of rows with one id the last by seq or time stays.
+        """Writes routed records (column ``route``) as one commit over their tables: of rows with one id the last by seq or time stays.
 
         Every record needs an id and every table has to be there. Writing the same commit again replaces it, so a retried batch
         leaves what one would have left.
@@ -146,8 +155,7 @@ class Store:
         once = records.withColumn("_rank", F.row_number().over(Window.partitionBy("route", "id").orderBy(*order))).where("_rank = 1").drop("_rank")
         for name in routes:
             self.stage(once.where(F.col("route") == name), name, commit)
-        for name in routes:
-            self.publish(name, commit)
+        self.publish(commit)
 
 
 def bulk_outcome(items: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -175,12 +183,14 @@ class UnitOfWork:
     staged: list[tuple[str, str]] = field(default_factory=list)
     reason: str | None = None
     open: bool = True
-    commit: str = field(default_factory=lambda: uuid.uuid4().hex)
+    commit: str = field(default_factory=lambda: f"{time.time_ns():020d}-{uuid.uuid4().hex}")  # commits count in the order of their names
 
     def write(self, records: DataFrame, name: str, outbox: str | None = None) -> None:
         if not self.open:
             raise TransactionSpoilt("the unit of work is over")
         for table in (name, outbox) if outbox else (name,):
+            if (table, self.commit) in self.staged:
+                raise TransactionSpoilt(f"{table} has been written in this unit of work")
             self.store.stage(records, table, self.commit)
             self.staged.append((table, self.commit))
 
@@ -200,8 +210,11 @@ class UnitOfWork:
         if error is not None:
             self.spoil(str(error) or type(error).__name__)
         self.open = False
-        for name, commit in self.staged:
-            self.store.discard(name, commit) if self.reason else self.store.publish(name, commit)
+        if self.reason:
+            for name, commit in self.staged:
+                self.store.discard(name, commit)
+        elif self.staged:
+            self.store.publish(self.commit)
         if self.reason and error is None:
             raise TransactionSpoilt(self.reason)
 

@@ -176,7 +176,7 @@ def test_owners(spark):
 def bound_rows(spark, statements):
     """(seq, flush, sql, params, affected, generated key) bound to an order and its lines."""
     df = spark.createDataFrame([("c", *s) for s in statements], "connection string, seq long, flush long, sql string, params array<string>, affected long, generated_key string")
-    mapping = replay.mapping_table(spark, [replay.Mapped("orders", "order", ("id",), (("status", "status"), ("author_id", "author"))), replay.Mapped("line", "line", ("order_id", "pos"), (("qty", "quantity"),), owner_key="order_id", collection="lines", owner_type="order")])
+    mapping = replay.mapping_table(spark, [replay.Mapped("orders", "order", ("id",), (("status", "status"), ("author_id", "author")), references=("author_id",)), replay.Mapped("line", "line", ("order_id", "pos"), (("qty", "quantity"),), owner_key="order_id", collection="lines", owner_type="order")])
     return replay.bound(sqlshape.with_shapes(df), mapping)
 
 
@@ -214,6 +214,41 @@ def test_elements(spark):
     assert [(r["seq"], r["objectId"], r["old"]) for r in facts.collect()] == [(4, "5", ["5|1", "5|2"])] and [r["seq"] for r in doubts.collect()] == [5]
 
 
+def test_element_runs(spark):
+    """A run ends when a key comes up again in it, not in an earlier one."""
+    steps = [("o", "1", 7, i, n, "1", "2") for i, n in enumerate(["a", "a", "b", "b", "a", "c", "b"])] + [("o", "1", 8, 9, "a", "1", "2"), ("o", "2", 7, 3, "a", "1", "2")]
+    df = spark.createDataFrame(steps, "objectType string, objectId string, flush long, seq long, name string, old string, new string")
+    got = sorted((r["objectId"], r["flush"], r["run"], r["since"], sorted(r["changes"])) for r in drafts.element_runs(df).collect())
+    assert got == [("1", 7, 1, 0, ["a"]), ("1", 7, 2, 1, ["a", "b"]), ("1", 7, 3, 3, ["a", "b", "c"]), ("1", 7, 4, 6, ["b"]), ("1", 8, 1, 9, ["a"]), ("2", 7, 1, 3, ["a"])]
+
+
+def test_completed_creates(spark):
+    """An update is the rest of a creation only if it fills references the insert left null, in its flush and with none begun between."""
+    mapped = [replay.Mapped("relay", "relay", ("id",), (("next_id", "next"), ("title", "title")), references=("next_id",))]
+    insert, fill = "INSERT INTO relay (id, next_id, title) VALUES (?, ?, ?)", "UPDATE relay SET next_id = ? WHERE id = ?"
+    log = [
+        (1, 1, insert, ["1", "null", "null"]), (2, 1, fill, ["9", "1"]),
+        (3, 1, insert, ["2", "null", "null"]), (4, 1, "UPDATE relay SET title = ? WHERE id = ?", ['"x"', "2"]),
+        (5, 1, insert, ["3", "8", "null"]), (6, 1, fill, ["9", "3"]),
+        (7, 1, insert, ["4", "null", "null"]), (8, 2, fill, ["9", "4"]),
+        (10, 3, insert, ["5", "null", "null"]), (12, 3, fill, ["9", "5"]),
+    ]
+    df = spark.createDataFrame([("c", *r, 1, None) for r in log], "connection string, seq long, flush long, sql string, params array<string>, affected long, generated_key string")
+    rows = replay.bound(sqlshape.with_shapes(df), replay.mapping_table(spark, mapped))
+    changes = replay.field_changes(replay.row_states(rows))
+    events = lambda begins: sorted((r["objectId"], r["event"]) for r in replay.records(replay.completed_creates(changes, begins)).collect())
+    apart = [("2", "create"), ("2", "update"), ("3", "create"), ("3", "update"), ("4", "create"), ("4", "update")]
+    assert events(None) == sorted([("1", "create"), *apart, ("5", "create")])
+    assert events(spark.createDataFrame([("c", 11)], "connection string, seq long")) == sorted([("1", "create"), *apart, ("5", "create"), ("5", "update")])
+
+
+def test_counts_changed_rows(spark):
+    rows = bound_rows(spark, [(1, 1, "INSERT INTO orders (status) VALUES (?)", ['"a"'], 1, "5"), (2, 1, "UPDATE orders SET status = ? WHERE id = ?", ['"a"', "5"], 0, None), (3, 1, "UPDATE orders SET author_id = ? WHERE id = ?", ["7", "5"], 0, None), (4, 1, "UPDATE orders SET author_id = ? WHERE id = ?", ["8", "5"], 1, None)])
+    states = replay.row_states(rows.where("binding = 'ROW'"))
+    said = lambda changed: sorted((r["seq"], r["column"], r["old"], r["new"]) for r in replay.field_changes(states, changed).where("statement = 'UPDATE'").collect())
+    assert said(True) == [(4, "author_id", "7", "8")] and said(False) == [(4, "author_id", None, "8")]
+
+
 def test_executions(spark):
     rows = [(1, 1, "oven", "1", "INSERT", "base"), (2, 1, "oven", "1", "INSERT", "kiln"), (3, 1, "oven", "1", "UPDATE", "base"), (4, 1, "oven", "1", "UPDATE", "kiln"), (5, 2, "oven", "1", "UPDATE", "base")]
     df = spark.createDataFrame([("c", *r) for r in rows], "connection string, seq long, flush long, objectType string, key string, statement string, root string")
@@ -222,7 +257,29 @@ def test_executions(spark):
 
 def test_links():
     steps = [(1, 1, "add", "a", None), (2, 1, "add", "b", None), (3, 1, "remove", "a", None), (4, 2, "remove", "b", None), (5, 2, "add", "c", None), (6, 3, "emptied", None, None), (7, 4, "add", "x", None), (8, 4, "add", "x", None), (9, 5, "gone", "x", None), (10, 5, "gone", "y", True)]
-    assert links.link_runs(steps, []) == [(1, 1, 0, [], ["a", "b"], None), (1, 3, 1, ["a", "b"], ["b"], None), (2, 4, 2, ["b"], ["c"], None), (3, 6, 3, ["c"], [], None), (4, 7, 4, [], ["x"], None), (4, 8, 5, None, None, "a link arrived that was there"), (5, 9, 6, None, None, "nobody looked who held the target"), (5, 10, 7, ["y"], [], None)]
+    assert [r[:6] for r in links.link_runs(steps, [])] == [(1, 1, 0, [], ["a", "b"], None), (1, 3, 1, ["a", "b"], ["b"], None), (2, 4, 2, ["b"], ["c"], None), (3, 6, 3, ["c"], [], None), (4, 7, 4, [], ["x"], None), (4, 8, 5, None, None, "a link arrived that was there"), (5, 9, 6, None, None, "nobody looked who held the target"), (5, 10, 7, ["y"], [], None)]
+
+
+def test_link_rules():
+    """Numbers in order, what an account shows already, the owner's own removal, and what a deletion takes with it."""
+    step = lambda seq, kind, target=None, flush=1, observed=None: (seq, flush, kind, target, observed)
+    assert links.link_runs([step(1, "add", "10"), step(2, "add", "9"), step(3, "add", "x")], [])[0][4] == ["9", "10", "x"]
+    taken = [step(1, "add", "a"), step(2, "remove", "b"), step(3, "add", "c")]
+    assert links.undone(taken, ["a", "d"], [1, 2]) == {"b", "d"} and links.undone(taken, ["a"], [7]) is None and links.undone([step(1, "emptied")], ["a"], [1]) is None
+    assert [r[3:5] for r in links.link_runs(taken, links.undone(taken, ["a", "d"], [1, 2]))] == [(["b", "d"], ["a", "c", "d"])]
+    # emptied right before the owner went: part of its removal; with a statement in between, a change of the list
+    assert links.link_runs([step(1, "add", "a"), step(2, "begin", flush=2), step(3, "emptied", flush=2), step(4, "row gone", flush=2)], ["z"]) == [(1, 1, 0, ["z"], ["a", "z"], None, [])]
+    assert [r[:5] for r in links.link_runs([step(1, "remove", "z"), step(2, "emptied"), step(3, "row gone")], ["y", "z"])] == [(1, 1, 0, ["y", "z"], ["y"])]
+    assert [r[3:5] for r in links.link_runs([step(1, "emptied"), step(2, "add", "q"), step(3, "row gone")], ["z"])] == [(["z"], ["q"])]
+    assert links.link_runs([step(1, "row"), step(2, "add", "a")], None)[0][3:5] == ([], ["a"])
+    assert links.link_runs([step(4, "gone", "a"), step(5, "gone", "b", observed=False)], ["a"])[0] == (1, 4, 0, ["a"], [], None, [4])
+
+
+def test_links_reconciled(spark):
+    steps = spark.createDataFrame([("t", str(o), 5, 1, "gone", "a", None, 2) for o in (1, 2, 3)] + [("t", "1", 6, 1, "gone", "b", None, 2)], "association string, owner string, seq long, flush long, kind string, target string, observed boolean, affected long")
+    accounts = spark.createDataFrame([("t", "1", ["a", "b"], []), ("t", "2", ["a", "c"], []), ("t", "3", [], [])], "association string, owner string, targets array<string>, includes array<long>")
+    found = links.reconciled(links.runs_of(steps, accounts), steps).collect()
+    assert [(r["seq"], r["text"]) for r in found] == [(6, "a target was taken out of 2 lists, and 1 were known to hold it")]
 
 
 def test_link_runs_by_owner(spark):
@@ -272,9 +329,11 @@ def test_drafts(spark):
 
 def test_context_as_of(spark):
     records = spark.createDataFrame([("oven", "1", 5, {"site": (True, "1", "2", None)}), ("oven", "1", 9, {})], f"objectType string, objectId string, seq long, changes map<string,{CHANGE}>")
-    images = spark.createDataFrame([("oven", "1", 1, 5, {"label": "old"}), ("oven", "1", 5, None, {"label": "now"})], "root string, key string, valid_from long, valid_to long, row map<string,string>")
+    images = spark.createDataFrame([("oven", "oven", "1", 1, 5, {"label": "old"}), ("oven", "oven", "1", 5, None, {"label": "now"}), ("carts", "cart", "1", 5, None, {"label": "another's"}), ("oven", "oven", "2", 1, 3, {"label": "gone"})], "root string, objectType string, key string, valid_from long, valid_to long, row map<string,string>")
     out = drafts.with_context(records, images, {"oven": ["label"]}).orderBy("seq").collect()
-    assert out[0]["changes"]["label"].asDict() == {"pair": True, "old": "now", "new": "now", "raw": None} and out[1]["changes"] == {}
+    assert len(out) == 2 and out[0]["changes"]["label"].asDict() == {"pair": True, "old": "now", "new": "now", "raw": None} and out[1]["changes"] == {}
+    late = spark.createDataFrame([("oven", "2", 5, {"site": (True, "1", "2", None)})], records.schema)
+    assert set(drafts.with_context(late, images, {"oven": ["label"]}).first()["changes"]) == {"site"}
 
 
 def test_holders(spark):
@@ -312,3 +371,29 @@ def test_frame(spark):
     with pytest.raises(InvalidDeclaration), frame_():
         frame_.begin(atomic=True)
     assert len(written) == 2 and frame_.depth == 0
+
+
+def test_frame_valve(spark):
+    """Over batches as in one fold: what the valve lets out, in the order in which it does."""
+    from retrace.operators.frame import CoalescingFrame
+
+    for seed in range(6):
+        rows = frame(seed)
+        written: list = []
+        for most in (1, 2, 50):
+            held = CoalescingFrame(lambda df: written.append([(r["id"], r["event"], r["actor"], {k: c.asDict() for k, c in r["changes"].items()}) for r in df.collect()]), max_held=most)  # noqa: B023
+            with held():
+                for part in (rows[: len(rows) // 2], rows[len(rows) // 2 :]):
+                    held.record(spark.createDataFrame([r[1:] for r in part], STEPS.replace("frame string, ", "")))
+            assert written.pop() == [(r["id"], r["event"], r["actor"], r["changes"]) for r in coalesce.fold(plain(rows), most)], (seed, most)
+            try:
+                coalesce.fold(plain(rows), most, atomic=True)
+                fits = True
+            except FrameOverflow:
+                fits = False
+            try:
+                with held(atomic=True):
+                    held.record(spark.createDataFrame([r[1:] for r in rows], STEPS.replace("frame string, ", "")))
+                assert fits and len(written.pop()) > 0
+            except FrameOverflow:
+                assert not fits and not written

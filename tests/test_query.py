@@ -144,3 +144,22 @@ def test_hydrate_documents_of_any_age(spark):
     a, b = sorted(hydrate(rows, ["warehouseId"]).collect(), key=lambda r: r["id"])
     assert (a["id"], a["loggedAt"], a["warnings"]) == ("x1", datetime(2020, 1, 1, 10), [])
     assert b["loggedAt"] == datetime(1970, 1, 1) and set(b["warnings"]) == {"loggedAt", "objectId", "event"} and b["event"] == ""
+
+
+def test_search_after_follows_the_sort(spark):
+    """Pages by the body's own sort, missing values last, meet every row once."""
+    data = [(str(i), "order", "1", "update", datetime(2024, 1, 1), "x", i % 3 if i % 4 else None, i % 2) for i in range(20)]
+    df = spark.createDataFrame(data, "id string, objectType string, objectId string, event string, loggedAt timestamp, source string, a int, b int")
+    for sort in ([("a", "asc"), ("b", "desc"), ("id", "asc")], [("a", "desc"), ("id", "desc")]):
+        r = Reader({"audit_log": df})
+        whole = [tuple(x) for x in r.raw(Q.any(), {"sort": sort, "size": 20})["hits"].select(*[n for n, _ in sort]).collect()]
+        met, last = [], None
+        while True:
+            body = {"sort": sort, "size": 3} | ({"search_after": list(last)} if last else {})
+            page = [tuple(x) for x in r.raw(Q.any(), body)["hits"].select(*[n for n, _ in sort]).collect()]
+            if not page:
+                break
+            met, last = met + page, page[-1]
+        assert met == whole and len(met) == 20
+    with pytest.raises(InvalidQuery):
+        r.raw(Q.any(), {"sort": [("a", "asc")], "search_after": [1, 2]})

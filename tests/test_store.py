@@ -51,6 +51,51 @@ def test_unit_of_work(spark, store):
     assert store.read("audit_log").count() == 1
 
 
+def test_one_mark(spark, store):
+    """A commit over two tables counts in both or in none, and later units of work win."""
+    store.stage(rows(spark, [("a", "create")]), "audit_log", "0")
+    store.stage(rows(spark, [("a", "create")]), "orders", "0")
+    assert store.read("audit_log").count() == store.read("orders").count() == 0
+    store.publish("0")
+    assert store.read("audit_log").count() == store.read("orders").count() == 1
+    for event in ("update", "remove"):
+        with UnitOfWork(store) as unit:
+            unit.write(rows(spark, [("a", event)]), "orders")
+            with pytest.raises(TransactionSpoilt):
+                unit.write(rows(spark, [("z", event)]), "orders")
+    assert [r["event"] for r in store.read("orders").collect()] == ["remove"]
+
+
+def test_filters_reach_the_files(spark, store):
+    store.upsert(rows(spark, [("a", "create")]), ["audit_log"], "1")
+    store.upsert(rows(spark, [("a", "update"), ("b", "create")]), ["audit_log"], "2")
+    found = store.read("audit_log").where("event = 'create'")
+    assert [r["id"] for r in found.collect()] == ["b"]
+    assert "EqualTo(event,create)" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_config_sends(spark, tmp_path):
+    record = spark.createDataFrame([("order", "1", "create", datetime(2024, 1, 1), "x", None, 1, {"v": (True, "null", "1", None)}, {}), ("", "2", "create", None, None, None, 2, {}, {})], "objectType string, objectId string, event string, loggedAt timestamp, source string, id string, seq long, changes map<string,struct<pair:boolean,old:string,new:string,raw:string>>, attributes map<string,string>")
+    for transport in ("sync", "queue", "outbox", "collector"):
+        config = EngineConfig(f"file://{tmp_path}/{transport}", routing={"order": "orders"}, transport=transport)
+        s = config.store(spark)
+        for name in ("audit_log", "orders", "outbox"):
+            s.create(TableDefinition(name))
+        collector, n = Collector(), {t: 0 for t in ("orders", "outbox")}
+        if transport == "outbox":
+            with pytest.raises(InvalidDeclaration):
+                config.send(spark, record, "1")
+            with UnitOfWork(s) as unit:
+                counts = config.send(spark, record, "1", unit=unit)
+        else:
+            counts = config.send(spark, record, "1", collector=collector)
+        assert counts == {"no object type": 1}
+        n = {t: s.read(t).count() for t in n} | {"collector": len(collector.rows)}
+        assert n == {"orders": 0, "outbox": 0, "collector": 0} | {{"sync": "orders", "collector": "collector"}.get(transport, "outbox"): 1}
+    with pytest.raises(InvalidRecord):
+        EngineConfig(f"file://{tmp_path}/sync", on_failure="throw").send(spark, record, "2")
+
+
 def test_schema(spark, store):
     more = TableDefinition("audit_log", {"warehouseId": "long", "place": "struct<lat:double,lon:double>"})
     assert set(store.sync(more).missing) == {"place.lat", "place.lon"} and store.check([more]).count() == 0
