@@ -20,6 +20,8 @@ BYTES_AT_ONCE, DOCS_AT_ONCE, KEYS_AT_ONCE = 2_000_000, 2048, 400_000
 BLOCK = 2048
 #: From so many members in one deal, a key is known to be shared and only one of them goes to be counted.
 HOT = 64
+#: Shuffled orders that choose the members to which families are tied first.
+HUBS = 8
 #: Places of a sketch, of the form that goes along with keys, and of the one by which most pairs are told apart first.
 BITS, FOLDED, COARSE = 1 << 15, 1 << 12, 1 << 10
 
@@ -208,7 +210,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
     scratch.drop("dealt")
     members = scratch.keep(_candidate_sets(source, named, shared, words), "members")
     scratch.release()
-    pairs = shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = shared.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     links = scratch.keep(_verified(pairs, members, percent), "links")
     scratch.release()
     roots = connected_components(links, scratch, "first")
@@ -327,12 +329,15 @@ def _shared_keys(texts: DataFrame, words: int, bands: Bands) -> DataFrame:
 def _enough(dealt: DataFrame) -> DataFrame:
     """``key, node, leader`` of the keys that two nodes still have when nodes with fewer keys in common than they need are gone.
 
-    Rows that come up twice (members of hot keys) only ever count in favour of a node. leader is the least node of a key.
+    Rows that come up twice (members of hot keys) only ever count in favour of a node. leader is the first node of a key in one of HUBS
+    shuffled orders, chosen by the key: a family that has all its keys in common is tied to as many of its members, not to one
+    that may stand at its edge, and yet to so few that the ties are linear in its size.
     """
     enough = dealt.groupBy("node", "upper").agg(F.count("*").alias("has"), F.max("need").alias("need")).where("has >= need").select(F.struct("node", "upper").alias("at"))
     rows = dealt.select(F.struct("node", "upper").alias("at"), "key").join(enough, "at", "left_semi").select("key", "at.node", "at.upper")
-    kinds = rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.min("upper").alias("upper"))
-    kinds = kinds.where("leader <> last AND NOT upper").select(F.struct("key").alias("at"), "leader")
+    place = F.xxhash64("node", F.pmod("key", F.lit(HUBS)))
+    kinds = rows.groupBy("key").agg(F.min_by("node", place).alias("leader"), F.min("node").alias("first"), F.max("node").alias("last"), F.min("upper").alias("upper"))
+    kinds = kinds.where("first <> last AND NOT upper").select(F.struct("key").alias("at"), "leader")
     return rows.select(F.struct("key").alias("at"), "node").join(kinds, "at").select("at.key", "node", "leader").distinct()
 
 
