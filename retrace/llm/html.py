@@ -18,7 +18,7 @@ from retrace.llm.common import Scratch
 # How elements are treated.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noframes noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe noframes noembed xmp svg math canvas object audio video".split())
+RAW = set("script style noscript template textarea title iframe noframes noembed xmp svg canvas object audio video".split())
 DROPPED = RAW | set("head nav header footer aside form button select menu dialog datalist search".split())
 MAIN = set("article main".split())
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -29,16 +29,22 @@ NOT_ARTICLE = set(
     "nav navbar navigation menu menubar sidebar sidebars breadcrumb breadcrumbs footer header masthead banner ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion "
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "comment comments disqus reply replies respond pagination pager toc widget widgets skip copyright legal paywall".split())
+#: What becomes of a block that no neighbour has, by its place, and which blocks make up the text.
+FATES, KEPT = ("markup", "own", "article"), ("own", "article", "passage")
 #: Two pages are near copies if what they share is all of the smaller one but a part in this many.
 COPY_OF = 10
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+# a quote opens a value only right after "=", and an unclosed one is a character like others, so a tag is read once, from left to right
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:"[^"]*"|'[^']*'|[^\s>]*+))*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAMES = re.compile(r"[a-z]+")
 
 
-def is_apart(name: str, rest: str) -> bool:
-    """Whether an element by its attributes is no part of an article: a hidden one, a role, a class or id."""
+def is_apart(name: str, rest: str, inside: bool = False) -> bool:
+    """Whether an element by its attributes is no part of an article: a hidden one, a role, a class or id.
+
+    Inside an article a class has to be one of the words as a whole: a share-price is no share button.
+    """
     if not rest:
         return False
     found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(rest)}
@@ -46,7 +52,8 @@ def is_apart(name: str, rest: str) -> bool:
         return True
     if found.get("role") in ROLES:
         return True
-    words = set(_NAMES.findall(found.get("class", "") + " " + found.get("id", "")))
+    names = found.get("class", "") + " " + found.get("id", "")
+    words = set(names.split() if inside else _NAMES.findall(names))
     return bool(words & NOT_ARTICLE) and name not in ("html", "body") and name not in MAIN
 
 
@@ -54,10 +61,12 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
     """The text blocks of a page in order, each with its place: 2 inside an article, 1 elsewhere, 0 in what is none by its markup.
 
     Block elements part blocks; a line break and white space inside a block become one space. Unclosed
-    and stray tags are taken as browsers do: an end tag closes what it matches, or nothing.
+    and stray tags are taken as browsers do: an end tag closes what it matches, or nothing. The header
+    of an article is part of it. The time is in proportion to the page, well formed or not.
     """
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, apart, in an article
+    opened: Counter[str] = Counter()  # how many of each name are on the stack
     pieces: list[str] = []
     apart = main = False
     at, n = 0, len(page)
@@ -68,6 +77,10 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
         if text:
             out.append((text, 0 if apart else 2 if main else 1))
 
+    def cut(depth: int) -> None:
+        opened.subtract(x[0] for x in stack[depth:])
+        del stack[depth:]
+
     while at < n:
         tag = _TAG.search(page, at)
         if tag is None:
@@ -82,28 +95,29 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
             pieces.append("\n")
             continue
         if tag[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is None:
+            if not opened[name]:
                 if name == "p":
                     close()
                 continue
+            depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
             if any(x[0] in BLOCKS or x[1] for x in stack[depth:]):
                 close()
-            del stack[depth:]
+            cut(depth)
         else:
             if name in BLOCKS or name in DROPPED:
                 close()
             if name in BLOCKS:
                 while stack and stack[-1][0] == "p":
-                    stack.pop()
+                    cut(len(stack) - 1)
             for other in ENDED_BY.get(name, ()):
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1, -1, -1) if opened[other] else ():
                     if stack[i][0] == other:
-                        del stack[i:]
+                        cut(i)
                         break
                     if stack[i][0] in SCOPES:
                         break
-            own = name in DROPPED or is_apart(name, tag[3])
+            apart, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            own = name in DROPPED and not (main and name == "header") or is_apart(name, tag[3], main)
             if own and name not in BLOCKS:
                 close()
             if name in RAW and name not in VOID and not tag[3].rstrip().endswith("/"):
@@ -113,23 +127,67 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
             if name not in VOID and not (tag[3].rstrip().endswith("/") and name not in BLOCKS):
                 inside = name in MAIN or "articlebody" in tag[3].lower()
                 stack.append((name, own or apart, (inside or main) and not own))
+                opened[name] += 1
         apart, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
     close()
     return out
 
 
+#: Bits of the table of a longest common subsequence that are held at once; longer pages are split.
+TABLE = 1 << 27
+
+
 def common_lines(a: list[int], b: list[int]) -> set[int]:
-    """Indexes of ``a`` in a longest common subsequence with ``b``, by bit vectors: a row of the table is one integer."""
+    """Indexes of ``a`` in a longest common subsequence with ``b``.
+
+    Lines that the other page hasn't are left out first, and a common start and end taken as they are. Of
+    what is left, a row of the table is one integer, a bit per line. Where the table would be too large,
+    the first page is split in halves and the other where their lengths add up to the most, which needs one row at a time.
+    """
+    both = set(a) & set(b)
+    out: set[int] = set()
+    parts = [([(x, i) for i, x in enumerate(a) if x in both], [x for x in b if x in both])]
+    while parts:
+        p, q = parts.pop()
+        start, end = 0, min(len(p), len(q))
+        while start < end and p[start][0] == q[start]:
+            start += 1
+        tail = 0
+        while tail < end - start and p[-1 - tail][0] == q[-1 - tail]:
+            tail += 1
+        out |= {i for _, i in p[:start]} | {i for _, i in p[len(p) - tail :]}
+        p, q = p[start : len(p) - tail], q[start : len(q) - tail]
+        if len(p) * len(q) <= TABLE or len(p) < 2:
+            out |= {p[k][1] for k in _common([x for x, _ in p], q)}
+            continue
+        half = len(p) // 2
+        before = _lengths([x for x, _ in p[:half]], q)
+        after = _lengths([x for x, _ in reversed(p[half:])], q[::-1])
+        at = max(range(len(q) + 1), key=lambda j: before[j] + after[len(q) - j])
+        parts += [(p[:half], q[:at]), (p[half:], q[at:])]
+    return out
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """Rows of the table: bit i is 0 where the length grows with line i of ``a``, a row for each start of ``b``."""
     places: dict[int, int] = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    rows, v = [], full
+    v = full = (1 << len(a)) - 1
+    yield v
     for y in b:
-        rows.append(v)
         u = v & places.get(y, 0)
         v = (v + u | v - u) & full
-    rows.append(v)
+        yield v
+
+
+def _lengths(a: list[int], b: list[int]) -> list[int]:
+    """The length of a longest common subsequence of ``a`` with each start of ``b``."""
+    return [len(a) - v.bit_count() for v in _rows(a, b)]
+
+
+def _common(a: list[int], b: list[int]) -> set[int]:
+    rows = list(_rows(a, b))
     # walks back: a bit that is 0 in a row marks where the length grows
     out: set[int] = set()
     i, j = len(a), len(b)
@@ -157,13 +215,16 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
        longer start of the path, the one before on a tie. Near copies of the page (``near_copy``: the same page under
        another URL, a repeated row) say nothing about what is its own and are passed over, however many they
        are, to the next page of the host that differs; if there is none, nothing is deleted.
-    2. A longest common subsequence of the two pages' lines is what they share; shared lines go.
-    3. A guard keeps differencing right where pages have markup: what menus, headers, footers, asides, forms,
-       adverts and comments contain goes without a partner as well, and lines inside an article
-       element stay even if the neighbour carries the same article or passage. All other lines are decided by
+    2. A longest common subsequence of all lines of the two pages, menus and adverts as well as the article's, is what they share; shared lines go.
+    3. A guard keeps differencing right where pages have markup. Of what differencing left, the lines that menus, headers, footers, asides, forms,
+       adverts and comments contain go as well, and of what it took, lines inside an article
+       element stay, as the neighbour may carry the same article or passage. Lines without such markup are decided by
        steps 1 and 2 alone, on pages with an article element as on pages without one: an article element may
        wrap a teaser only, and the text stand beside it.
 
+    A block's fate is one of ``shared`` (deleted by differencing), ``markup`` (by the guard alone), ``own`` (kept, as no
+    neighbour has it), ``article`` (kept, inside an article), ``passage`` (the same, and kept by the guard alone).
+
     Pairing looks at urls and line hashes only; page text is shuffled once, with the lines to delete.
     Null html or no lines left: empty text. A null url is its own host, so those pages pair with each other.
     Repeated rows are copies like others. Empty table: empty result.
@@ -175,8 +236,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     def hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # only what differencing may delete: lines outside an article and not apart by markup already
-            lines = [[(h, len(t)) for h, (t, place) in zip(hashes, blocks) if place == 1] for blocks, hashes in map(_lines, batch.column(2).to_pylist())]
+            lines = [[(h, len(t)) for h, (t, _) in zip(hashes, blocks)] for blocks, hashes in map(_lines, batch.column(2).to_pylist())]
             hashed, sizes = [[h for h, _ in x] for x in lines], [[n for _, n in x] for x in lines]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashed, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], ["tie", "url", "lines", "sizes"])
 
@@ -194,15 +254,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         for batch in batches:
             texts, fates = [], []
             for page, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                blocks = blocks_of(page or "")
-                left, kinds, at = [], [], 0
-                drop = set(gone or ())
-                for text, place in blocks:
-                    fate = "article" if place == 2 else "markup"
-                    if place == 1:
-                        fate = "shared" if at in drop else "own"
-                        at += 1
-                    if fate in ("article", "own"):
+                left, kinds, drop = [], [], set(gone or ())
+                for at, (text, place) in enumerate(blocks_of(page or "")):
+                    fate = ("passage" if place == 2 else "shared") if at in drop else FATES[place]
+                    if fate in KEPT:
                         left.append(text)
                     kinds.append(fate)
                 texts.append("\n\n".join(left))
