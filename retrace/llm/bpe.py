@@ -26,9 +26,41 @@ NO_RANK = 1 << 60
 #: Slots of the hash table of pairs, and the multiplier whose top 21 bits choose one.
 SLOTS, SPREAD = 1 << 21, 0x9E3779B97F4A7C15
 SEPARATORS = re.compile("[\x1c-\x1f]")
+# The library's letters and numbers are those of Unicode 16, whose additions to Unicode 15.1 are these.
+LETTERS_16 = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"
+NUMBERS_16 = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+# Lower case that the library knows beyond Unicode 15.1, as ranges and what to add to them.
+LOWER_PAIRS = (("1C89", 1), ("A7CB", 0x264 - 0xA7CB), ("A7CC", 1), ("A7CE", 1), ("A7D2", 1), ("A7D4", 1), ("A7DA", 1), ("A7DC", 0x19B - 0xA7DC), ("10D50-10D65", 0x20), ("16EA0-16EB8", 0x1B))
+# Marks with a combining class, younger than the library's tables for NFC, which reorder and compose nothing across them.
+PLAIN_MARKS = (
+    "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 1193D-1193E 11943 "
+    "119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF")
 SPACE = regex.compile(r"\p{White_Space}+")
 
 
+def code_points(ranges: str) -> list[int]:
+    """The code points of hexadecimal ranges."""
+    return [c for r in ranges.split() for c in range(int(r.split("-")[0], 16), int(r.split("-")[-1], 16) + 1)]
+
+
+def char_class(points: list[int]) -> str:
+    """A class of a regular expression that holds the code points, as ranges."""
+    out: list[list[int]] = []
+    for c in sorted(points):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in out) + "]"
+
+
+def other_class(name: str, known: str) -> list[int]:
+    """Code points that are letters (L) or numbers (N) to the regular expressions here but not to the library."""
+    old = set(code_points(known))
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    return [c for m in regex.finditer(rf"\p{{{name}}}", every) if unicodedata.category(m[0])[0] != name and (c := ord(m[0])) not in old]
+
+
 def byte_symbols() -> list[str]:
     """The visible character that stands for each byte: itself where it prints, else the next from 256 on."""
     printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -66,7 +98,16 @@ class Bpe:
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.tokens = {i: t for t, i in {**self.vocab, **special}.items()}
         split = next(p for p in stored["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words_and_spaces = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}") + "| ")
+        pattern = split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}") + "| "
+        self.words_and_spaces = regex.compile(pattern)
+        # the same for texts with characters on which Unicode's versions differ
+        letters, numbers = other_class("L", LETTERS_16), other_class("N", NUMBERS_16)
+        self.lower_pairs = {c: c + more for r, more in LOWER_PAIRS for c in code_points(r)}
+        self.plain_marks = regex.compile(f"({char_class(code_points(PLAIN_MARKS))})")
+        self.differs = regex.compile(char_class([*letters, *numbers, *self.lower_pairs, *code_points(PLAIN_MARKS)]))
+        for name, points in (("L", letters), ("N", numbers)):
+            pattern = pattern.replace(rf"[\p{{{name}}}]", rf"\p{{{name}}}").replace(rf"\p{{{name}}}", f"[\\p{{{name}}}--{char_class(points)}]" if points else rf"\p{{{name}}}")
+        self.words_by_table = regex.compile(pattern, regex.V1)
         symbols = byte_symbols()
         self.inner = np.array([self.vocab[c] for c in symbols], np.int64)
         self.last = np.array([self.vocab[c + self.suffix] for c in symbols], np.int64)
@@ -155,10 +196,19 @@ class Bpe:
 
     def learn(self, chunks: list[str]) -> None:
         """Remembers the ids of what stands between white space; no word of the pre-tokenizer reaches across it."""
+        other = {c for c in chunks if not c.isascii() and self.differs.search(c)}
+        if other:
+            text = " ".join(other)
+            text = "".join(p if i % 2 else unicodedata.normalize("NFC", p) for i, p in enumerate(self.plain_marks.split(text)))
+            self.learn_words(list(other), self.words_by_table.findall(text.replace("Σ", "σ").lower().translate(self.lower_pairs)))
+            chunks = [c for c in chunks if c not in other]
         text = " ".join(chunks)
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() would choose a final sigma by context
-        found = self.words_and_spaces.findall(text.lower())
+        self.learn_words(chunks, self.words_and_spaces.findall(text.lower()))
+
+    def learn_words(self, chunks: list[str], found: list[str]) -> None:
+        """Remembers the ids of chunks, whose words stand in ``found`` with a space between chunks."""
         words = {w: w.encode("utf-8", "replace") for w in set(found)}
         words.pop(" ", None)
         ids: dict[str, list[int]] = {w: self.long_word(data) for w, data in words.items() if len(data) > SHORT}
