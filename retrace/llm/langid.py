@@ -14,15 +14,13 @@ BINS = 4096
 #: Rows per language that training may use, the first by md5 of the id: the bound of the labelled sample.
 TRAIN_ROWS = 4000
 STEPS, PENALTY = 15, 8.0
+#: Texts and characters whose n-grams are counted together.
+ROWS_AT_ONCE, CHARS_AT_ONCE = 256, 2_000_000
 
 
-def letter_classes() -> np.ndarray:
-    """A class of 0 to 63 for every code point: 0 no letter, a-z each its own, other letters hashed."""
-    out = np.zeros(0x110000, np.uint32)
-    for c in range(0x110000):
-        if chr(c).isalpha():
-            out[c] = c - 96 if 97 <= c <= 122 else 27 + (c * 2654435761 >> 7) % 37
-    return out
+def letter_class(c: int) -> int:
+    """A class of 0 to 63 for a code point: 0 no letter, a-z each its own, other letters hashed."""
+    return 0 if not chr(c).isalpha() else c - 96 if 97 <= c <= 122 else 27 + (c * 2654435761 >> 7) % 37
 
 
 _CLASSES: np.ndarray | None = None
@@ -31,33 +29,47 @@ _CLASSES: np.ndarray | None = None
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Counts of hashed trigrams, a row per text, and whether it has a letter. No trigram reaches across texts.
 
-    Runs of characters that are no letters count as one; trigrams with two of them are left out.
+    Every letter is the middle of one. Runs of characters that are no letters count as one, and so do both ends of a text, whatever
+    stands beside it in the batch.
     """
     global _CLASSES
     if _CLASSES is None:
-        _CLASSES = letter_classes()
+        _CLASSES = np.array([letter_class(c) for c in range(0x110000)], np.uint32)
     lowered = [t.lower() for t in texts]
-    codes = np.frombuffer("\n".join(lowered).encode("utf-32-le", "replace"), np.uint32)
-    own = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lowered])[: len(codes)]
+    codes = np.frombuffer(f"\n{'\n'.join(lowered)}\n".encode("utf-32-le", "replace"), np.uint32)
+    own = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lowered])
     classes = _CLASSES[codes]
-    has = np.zeros(len(texts), bool)
-    has[own[classes > 0]] = True
     stay = np.ones(len(classes), bool)
     stay[1:] = (classes[1:] > 0) | (classes[:-1] > 0)
-    classes, own = classes[stay], own[stay]
+    classes, own = classes[stay], own[stay[1:]]
     a, b, c = classes[:-2], classes[1:-1], classes[2:]
-    good = (own[:-2] == own[2:]) & (b > 0) & ((a > 0) | (c > 0))
+    good = b > 0
     grams = ((a[good] << 12 | b[good] << 6 | c[good]) * np.uint32(2654435761) >> np.uint32(20)).astype(np.int64)
-    flat = np.bincount(own[:-2][good] * BINS + grams, minlength=len(texts) * BINS)
-    return flat.reshape(len(texts), BINS).astype(np.float32), has
+    flat = np.bincount(own[: len(good)][good] * BINS + grams, minlength=len(texts) * BINS).reshape(len(texts), BINS)
+    return flat.astype(np.float32), flat.any(1)
+
+
+def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """Cuts a batch into parts of bounded rows and characters; a longer text is a part by itself."""
+    part: list[str] = []
+    at = size = 0
+    for i, t in enumerate(texts):
+        t = t or ""
+        if part and (len(part) >= ROWS_AT_ONCE or size + len(t) > CHARS_AT_ONCE):
+            yield at, part
+            part, at, size = [], i, 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield at, part
 
 
 def em(counts: np.ndarray, likely: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of the languages in each text, and the log-likelihood they reach."""
-    n = np.maximum(counts.sum(1, keepdims=True), 1)
+    """Proportions of the languages in each text, and the log-likelihood they reach; a text without n-grams keeps equal ones."""
+    n = counts.sum(1, keepdims=True)
     share = np.full((len(counts), likely.shape[0]), 1 / likely.shape[0], np.float32)
     for _ in range(steps):
-        share *= (counts / (share @ likely)) @ likely.T / n
+        share *= np.where(n > 0, (counts / np.maximum(share @ likely, 1e-30)) @ likely.T / np.maximum(n, 1), 1)
     return share, (counts * np.log(share @ likely + 1e-30)).sum(1, dtype=np.float64)
 
 
@@ -80,7 +92,7 @@ def infer(counts: np.ndarray, likely: np.ndarray, penalty: float = PENALTY) -> n
     cost = penalty * np.log(n + 1)
     value = alone.max(1).astype(np.float64)
     # what EM can still gain is bounded by the largest mean responsibility ratio
-    slack = n * np.log(np.maximum(1, ((counts / (share @ likely)) @ likely.T / n[:, None]).max(1)))
+    slack = n * np.log(np.maximum(1, ((counts / np.maximum(share @ likely, 1e-30)) @ likely.T / n[:, None]).max(1)))
     open_ = np.flatnonzero(reached + slack - value > cost)
     order = np.argsort(-share, axis=1, kind="stable")
     for size in range(2, likely.shape[0] + 1):
@@ -114,10 +126,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                counts, _ = trigrams(texts[at : at + 256])
-                for lang in set(langs[at : at + 256]):
-                    own = [i for i, x in enumerate(langs[at : at + 256]) if x == lang]
+            for at, part in chunks(texts):
+                counts, _ = trigrams(part)
+                for lang in set(langs[at : at + len(part)]):
+                    own = [i for i, x in enumerate(langs[at : at + len(part)]) if x == lang]
                     total[lang] = total.get(lang, 0) + counts[own].sum(0, dtype=np.float64)
         for lang, counts in total.items():
             at = np.flatnonzero(counts)
@@ -136,23 +148,23 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
     lang_pred is the language with most of the text, score its proportion, proportions all of the chosen
     set. ``und`` with score 0 where the text is null or has no letter, or nothing was learned. Ties go
-    to the first language by name. Rows keep their number, repeated ones too.
+    to the first language by name. Rows keep their number, repeated ones too; a text of any length is
+    counted to its end. A row's result doesn't depend on the rows beside it; figures are rounded to four places, as the last digits
+    of a product of matrices do. An empty table gives an empty result.
     """
     langs, likely = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
+            for at, texts in chunks(batch.column(1).to_pylist()):
                 counts, has = trigrams(texts)
                 share = infer(counts, likely) if len(langs) else np.zeros((len(texts), 1), np.float32)
                 top = share.argmax(1)
                 known = has & (len(langs) > 0)
                 names = [langs[t] if k else "und" for t, k in zip(top.tolist(), known.tolist())]
-                score = np.where(known, np.clip(share[np.arange(len(texts)), top], 0, 1), 0).astype(np.float64)
-                parts = [{lang: float(x) for lang, x in zip(langs, row) if x > 0} if k else {} for row, k in zip(share, known.tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array([list(p.items()) for p in parts], pa.map_(pa.string(), pa.float64()))], ["doc_id", "lang_pred", "score", "proportions"])
+                score = np.where(known, np.clip(share[np.arange(len(texts)), top], 0, 1), 0).astype(np.float64).round(4)
+                parts = [{lang: round(float(x), 4) for lang, x in zip(langs, row) if x > 0} if k else {} for row, k in zip(share, known.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(names, pa.string()), pa.array(score), pa.array([list(p.items()) for p in parts], pa.map_(pa.string(), pa.float64()))], ["doc_id", "lang_pred", "score", "proportions"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, proportions map<string,double>")
