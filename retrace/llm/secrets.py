@@ -18,11 +18,11 @@ BASE = (
 #: where a shorter match can't hide a longer one; an assignment that is too short does hide what it covers.
 SCAN = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 #: Labelled samples of each class; nats per character by which a secret has to look more random.
 SAMPLES, MARGIN = 4000, 0.35
-#: Least length of a secret the models judge; what parts words in a run; nats by which a running sum may fall before a random part ends.
-LEAST, SEPARATOR, DROP = 20, r"[/=_+-]", 6.0
+#: Least length of a secret the models judge, and nats it has to bring in all; what parts words in a run; nats by which a running sum may fall before a random part ends.
+LEAST, TOTAL, SEPARATOR, DROP = 16, 7.0, r"[/=_+-]", 6.0
 # Parts of ordinary identifiers, words and paths.
 PARTS = (
     "get set user name file path list item count index value key data type node tree map hash load save read write open close "
@@ -37,19 +37,24 @@ PARTS = (
 
 
 def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """``text, label``: n random strings (label 1: hex, base64, letters and digits) and n identifiers (label 0).
+    """``text, label``: n random strings (label 1: hex of either case, base64, letters and digits) and n ordinary ones (label 0).
 
-    Both are made by rule from the row number, so training is repeatable and needs no stored model.
+    Ordinary are identifiers in several styles, numbers, rules of one character, and letters and digits in their own order. Both
+    are made by rule from the row number, so training is repeatable and needs no stored model.
     """
     rows = spark.range(n).select(F.col("id"), F.sha2(F.concat(F.lit("s"), F.col("id")), 512).alias("h"))
     b64 = F.base64(F.unhex("h"))
-    random = rows.select(F.when(F.col("id") % 3 == 0, F.substring("h", 1, 40)).when(F.col("id") % 3 == 1, F.substring(F.regexp_replace(b64, r"[\r\n]", ""), 1, 44)).otherwise(F.substring(F.regexp_replace(b64, r"[^A-Za-z0-9]", ""), 1, 40)).alias("text"), F.lit(1).alias("label"))
+    kind = F.col("id") % 5
+    random = rows.select(F.when(kind == 0, F.substring("h", 1, 40)).when(kind == 1, F.upper(F.substring("h", 1, 40))).when(kind == 2, F.substring(F.regexp_replace(b64, r"[\r\n]", ""), 1, 44)).otherwise(F.substring(F.regexp_replace(b64, r"[^A-Za-z0-9]", ""), 1, 40)).alias("text"), F.lit(1).alias("label"))
     parts = F.array(*[F.lit(p) for p in PARTS])
     pick = lambda i: F.element_at(parts, (F.conv(F.substring("h", 8 * i + 1, 6), 16, 10).cast("long") % len(PARTS) + 1).cast("int"))
     words = F.array(*[pick(i) for i in range(6)])
-    style = F.col("id") % 6
+    style = F.col("id") % 9
+    number = F.substring(F.regexp_replace("h", "[a-f]", ""), 1, 24)
+    rule = F.repeat(F.substring(F.lit("-=_/+"), (F.floor(F.col("id") / 9) % 5 + 1).cast("int"), F.lit(1)), 40)
+    ordered = F.lit("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
     camel = F.array_join(F.transform(words, lambda w: F.initcap(w)), "")
-    text = F.when(style == 0, F.array_join(words, "_")).when(style == 1, camel).when(style == 2, F.array_join(words, "-")).when(style == 3, F.array_join(words, "/")).when(style == 4, F.concat_ws("_", F.upper(F.array_join(words, "_")), F.col("id").cast("string"))).otherwise(F.array_join(words, ""))
+    text = F.when(style == 0, F.array_join(words, "_")).when(style == 1, camel).when(style == 2, F.array_join(words, "-")).when(style == 3, F.array_join(words, "/")).when(style == 4, F.concat_ws("_", F.upper(F.array_join(words, "_")), F.col("id").cast("string"))).when(style == 5, number).when(style == 6, rule).when(style == 7, ordered).otherwise(F.array_join(words, ""))
     return random.unionByName(rows.select(text.alias("text"), F.lit(0).alias("label")))
 
 
@@ -147,7 +152,7 @@ def _random_segments(llr: Column, index: Column, margin: float, word: Column) ->
         return F.when((total <= 0) | (total < s["most"] - DROP), anew).when(total > s["most"], higher).otherwise(lower)
 
     def from_gains(gains: Column) -> Column:
-        mean_above = lambda a, b: F.aggregate(F.slice(gains, a + 1, b - a - 1), F.lit(0.0), lambda t, g: t + g) > 0
+        mean_above = lambda a, b: F.aggregate(F.slice(gains, a + 1, b - a - 1), F.lit(0.0), lambda t, g: t + g) > F.greatest(F.lit(0.0), TOTAL - margin * (b - a - 1))
         scanned = F.aggregate(gains, state(zero, zero, zero, zero, zero, F.array().cast(kind)), step, closed)
         lengths = F.transform(F.split(word, SEPARATOR), F.length)
         stretches = F.aggregate(lengths, F.struct(zero.alias("at"), F.array().cast(kind).alias("done")), lambda s, n: F.struct((s["at"] + n + 1).cast("int").alias("at"), F.when(n >= LEAST, F.concat(s["done"], F.array(span(s["at"], s["at"] + n)))).otherwise(s["done"]).alias("done")), lambda s: s["done"])
@@ -169,9 +174,9 @@ def _outside(found: Column, exact: Column) -> Column:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, samples: DataFrame | None = None) -> DataFrame:
     """Every secret of every whole text: ``doc_id, base, found`` (arrays of start, end, kind, match).
 
-    ``base`` has the matches of the fixed patterns; ``found`` those and, as kind ``markov``, every part of 20 or more
+    ``base`` has the matches of the fixed patterns; ``found`` those and, as kind ``markov``, every part of LEAST or more
     characters that the model of random strings explains better than that of identifiers, by ``margin`` nats
-    a character: of runs of ALPHABET, less what base spans cover, whole runs or the random parts among
+    a character and TOTAL in all: of runs of ALPHABET, less what base spans cover, whole runs or the random parts among
     ordinary neighbours (``_random_segments``). All of it is one projection over the scan:
     no shuffle, no Python. Null text: empty, no spans. Rows keep their number, repeated ones too.
     """
