@@ -13,7 +13,8 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: A source's weight moves in a straight line from its START share of the mean at time 0 to 2 - START
 #: at time 1, by its rank: the first of a cycle of three early, the last late.
 STARTS = (1.5, 1.0, 0.5)
-BUCKETS = 256
+#: Ranges of the md5 per source whose totals make up the prefix sums: this many, and more as rows grow.
+BUCKETS, ROWS_PER_BUCKET = 256, 50_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -49,7 +50,7 @@ def training_time(share: Column, start: Column) -> Column:
     return 2 * share / (start + F.sqrt(start * start + 4 * (1 - start) * share))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, starts: Sequence[float] = STARTS, buckets: int = BUCKETS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST, starts: Sequence[float] = STARTS, buckets: int | None = None, ordered: bool = False) -> DataFrame:
     """One row per document: what of it the mix takes, and when.
 
     A source's documents stand in a fixed shuffled order (md5 of the id) on a line of words that is
@@ -57,7 +58,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     before the stop are taken; only the one document per source in which the walk stops is taken in
     part. The position of a copy is the inverse of the source's cumulative demand at its first word, so
     every source follows its schedule and all end together. Prefix sums are built from totals of
-    ``buckets`` ranges of the md5 per source, so a source with a third of all rows spreads over them.
+    ``buckets`` ranges of the md5 per source, so a source with a third of all rows spreads over them; their number grows with the rows.
+    With ``ordered`` the result is range-partitioned and sorted by the position of each document's first copy, documents that
+    are not taken last.
 
     Returns ``doc_id, tie, source, size, source_size, target, taken, copies``; copies is an array of
     structs (pass, position, words), empty for what is not taken. Size is the number of words, 0 for a
@@ -70,6 +73,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("tie"))
     rows = scratch.keep(rows.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "rows")
+    buckets = buckets or max(BUCKETS, rows.count() // ROWS_PER_BUCKET)
     rows = rows.withColumn("bucket", (F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * buckets / 2**32).cast("int"))
     by_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(by_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, most)
@@ -88,7 +92,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         words = F.greatest(F.lit(0), F.least(F.col("size"), stop - at)).cast("long")
         copies.append(F.when(words > 0, F.struct(F.lit(turn).alias("pass"), training_time(F.least(F.lit(1.0), at / F.col("target")), start_share).alias("position"), words.alias("words"))))
     placed = placed.withColumn("copies", F.array_compact(F.array(*copies)))
-    return placed.select("doc_id", "tie", "source", "size", "source_size", "target", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"]).alias("taken"), "copies")
+    placed = placed.select("doc_id", "tie", "source", "size", "source_size", "target", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"]).alias("taken"), "copies")
+    if ordered:
+        order = [F.get("copies", F.lit(0))["position"].asc_nulls_last(), F.col("doc_id"), F.col("tie")]
+        placed = placed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    return placed
 
 
 def mixed_documents(docs: DataFrame, partitions: int | None = None, whole: bool = False, **options) -> DataFrame:

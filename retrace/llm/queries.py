@@ -59,12 +59,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = remove_repeats(documents(spark, sf_dir), 400)
-    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """Besides the strings of 400 bytes that go: the words in passages of over 50 words that another document has as well."""
+    done = remove_repeats(documents(spark, sf_dir), 400, 51)
+    words = F.aggregate("passages", F.lit(0).cast("long"), lambda n, p: n + p["end"] - p["begin"])
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), words.alias("n_passage_words"), (F.size("passages") > 0).alias("has_passage"))
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    """Besides what is taken of a document: the place in training, 0 to 1, of its first copy and of its second. In that order."""
+    done = mix(documents(spark, sf_dir), ordered=True)
+    place = lambda i: F.round(F.get("copies", F.lit(i))["position"], 6)
+    return done.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", place(0).alias("position"), place(1).alias("second_position"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +96,8 @@ ORACLE_SQL = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM t JOIN g USING (t)""",
     "op7_mix": r"""
         WITH RECURSIVE d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS o FROM documents),
-        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w FROM d GROUP BY source),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS w,
+              CAST([1.5, 1.0, 0.5][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS DOUBLE) AS early FROM d GROUP BY source),
         b AS (SELECT 1.5 * sum(source_size) AS budget FROM s),
         -- targets above twice the source are set to it and the rest is shared anew among the others, until none is above
         r AS (SELECT 0 AS step, source, source_size, CAST(w AS DOUBLE) AS w, false AS fixed, CAST((SELECT budget FROM b) * w / (SELECT sum(w) FROM s) AS DOUBLE) AS target FROM s
@@ -99,8 +105,12 @@ ORACLE_SQL = {
               SELECT step + 1, source, source_size, w, f, CASE WHEN f THEN 2.0 * source_size ELSE CAST(((SELECT budget FROM b) - coalesce(sum(CASE WHEN f THEN 2.0 * source_size END) OVER (), 0)) * w / sum(CASE WHEN f THEN 0 ELSE w END) OVER () AS DOUBLE) END
               FROM (SELECT *, fixed OR target >= 2.0 * source_size AS f FROM r) WHERE step < (SELECT count(*) FROM s)),
         t AS (SELECT source, source_size, target FROM r WHERE step = (SELECT max(step) FROM r)),
-        p AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(greatest(0, least(size, CAST(round(target) AS BIGINT) - start)) + greatest(0, least(size, CAST(round(target) AS BIGINT) - start - source_size)) AS BIGINT) AS taken FROM p""",
+        p AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        -- a source's demand at time t is early * t + (1 - early) * t * t of its target; a copy stands where the demand reaches its first word
+        c AS (SELECT p.*, s.early, CAST(round(p.target) AS BIGINT) AS stop, least(1.0, CAST(start AS DOUBLE) / p.target) AS x, least(1.0, CAST(start + p.source_size AS DOUBLE) / p.target) AS y FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source)
+        SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(greatest(0, least(size, stop - start)) + greatest(0, least(size, stop - start - source_size)) AS BIGINT) AS taken,
+            CASE WHEN least(size, stop - start) > 0 THEN round(2 * x / (early + sqrt(early * early + 4 * (1 - early) * x)), 6) END AS position,
+            CASE WHEN least(size, stop - start - source_size) > 0 THEN round(2 * y / (early + sqrt(early * early + 4 * (1 - early) * y)), 6) END AS second_position FROM c""",
     "op8_quality": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         tokens AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d WHERE len(w) > 0),

@@ -1,15 +1,15 @@
-"""Minimizers of byte windows: a content-determined bucket for every string of a fixed length."""
+"""Minimizers of windows of bytes or words: a content-determined bucket for every string of a fixed length."""
 
 from __future__ import annotations
 
 import numpy as np
 
-from retrace.llm.words import BASE, _BYTES, mixed
+from retrace.llm.words import BASE, mixed
 
 
-def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of the k bytes from each position on, for k a power of two, by doubling."""
-    code, width, factor = _BYTES[data], 1, BASE
+def gram_hashes(code: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of the k units from each position on, for k a power of two, by doubling."""
+    width, factor = 1, BASE
     while width < k:
         code = code[:-width] * np.uint64(factor) + code[width:]
         width, factor = 2 * width, factor * factor % (1 << 64)
@@ -25,25 +25,24 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def minimizer_runs(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def minimizer_runs(codes: np.ndarray, sizes: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of neighbouring window starts with one minimizer: text, first start, starts, offset of the minimizer from the first start, its hash.
 
-    The minimizer of a window of ``length`` bytes is the k-gram of least hash in it, the left one of
+    ``codes`` has a value for each unit (byte or word) of all texts, ``sizes`` how many each text has. The
+    minimizer of a window of ``length`` units is the k-gram of least hash in it, the left one of
     equals; equal windows have equal minimizers at equal places, so equal windows are found under one
-    hash. Every window start of every text is in exactly one run.
+    hash. Every window start of every text is in exactly one run, and no window is in a run twice.
     """
-    data = np.frombuffer(b"".join(texts), np.uint8)
     nothing = np.zeros(0, np.int64)
-    if len(data) < length:
+    if len(codes) < length:
         return nothing, nothing, nothing, nothing, np.zeros(0, np.uint64)
-    sizes = np.array([len(t) for t in texts])
     begins = np.cumsum(sizes) - sizes
-    grams = mixed(gram_hashes(data, k))
+    grams = mixed(gram_hashes(codes, k))
     bits = np.uint64(int(len(grams)).bit_length())
     ordered = grams >> bits << bits | np.arange(len(grams), dtype=np.uint64)
     least = sliding_min(ordered, length - k + 1)
     place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    own = np.repeat(np.arange(len(texts)), sizes)[: len(place)]
+    own = np.repeat(np.arange(len(sizes)), sizes)[: len(place)]
     good = np.arange(len(place)) + length <= (begins + sizes)[own]
     new = good.copy()
     new[1:] &= (place[1:] != place[:-1]) | (own[1:] != own[:-1]) | ~good[:-1]

@@ -25,6 +25,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def byte_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A value for each byte of all texts, and how many each text has."""
+    return _BYTES[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts], np.int64)
+
+
 def powers(n: int, base: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     out = np.ones(max(n, 1), np.uint64)
