@@ -14,8 +14,8 @@ from retrace.llm.common import Scratch, partitions_for
 from retrace.llm.components import connected_components
 from retrace.llm.words import mixed, shingle_sets
 
-#: Text bytes and documents that are hashed at once, keys that a worker gathers before it deals them out.
-BYTES_AT_ONCE, DOCS_AT_ONCE, KEYS_AT_ONCE = 2_000_000, 2048, 400_000
+#: Text bytes and documents that are hashed at once (so few that their arrays stay in a core's cache), keys that a worker gathers before it deals them out.
+BYTES_AT_ONCE, DOCS_AT_ONCE, KEYS_AT_ONCE = 250_000, 2048, 400_000
 #: Members of a bucket that one worker task compares at once; larger buckets are split into pairs of blocks.
 BLOCK = 2048
 #: From so many members in one deal, a key is known to be shared and only one of them goes to be counted.

@@ -281,27 +281,38 @@ def may_share(bucket: list[Run], unit: Unit) -> np.ndarray:
 def equal_windows(runs: list[Run], unit: Unit) -> Iterator[list[tuple[int, int]]]:
     """The windows of all runs, equal ones together: run and start of each.
 
-    The runs are joined with a lowest symbol between them; in the suffix array equal windows stand next to each other.
+    The runs are joined with a lowest symbol between them; in the suffix array equal windows stand next to each other. Every window
+    of a run holds the run's minimizer whole, so the minimizer stands as one symbol, its own for each content, and windows are shorter by the rest of it.
     """
     if not runs:
         return
+    width, gram = unit.width, unit.gram
+    sides = [(r.data[: r.off * width], r.data[(r.off + gram) * width :]) for r in runs]
+    if unit.words:
+        every = np.frombuffer(b"".join(x for side in sides for x in side), np.uint64)
+        ranks = iter(np.split((np.unique(every, return_inverse=True)[1] + 1), np.cumsum([len(x) // 8 for side in sides for x in side])[:-1]))
+        sides = [(next(ranks).tolist(), next(ranks).tolist()) for _ in runs]
+        above = len(every) + 1
+    else:
+        sides = [([b + 1 for b in x], [b + 1 for b in y]) for x, y in sides]
+        above = 257
+    grams: dict[bytes, int] = {}
     joined: list[int] = []
     own, bounds = [], []
-    if unit.words:
-        ranks = iter((np.unique(np.frombuffer(b"".join(r.data for r in runs), np.uint64), return_inverse=True)[1] + 1).tolist())
-    for i, r in enumerate(runs):
-        size = len(r.data) // unit.width
+    for i, (r, (before, after)) in enumerate(zip(runs, sides)):
         bounds.append(len(joined))
-        joined += [next(ranks) for _ in range(size)] if unit.words else [b + 1 for b in r.data]
+        joined += before
+        joined.append(above + grams.setdefault(r.data[r.off * width : (r.off + gram) * width], len(grams)))
+        joined += after
         joined.append(0)
-        own += [i] * r.n + [-1] * (size + 1 - r.n)
+        own += [i] * r.n + [-1] * (len(before) + len(after) + 2 - r.n)
     last, members = None, []
     for at in suffix_array(joined):
         i = own[at]
         if i < 0:
             continue
         s = at - bounds[i]
-        window = runs[i].data[s * unit.width : (s + unit.length) * unit.width]
+        window = runs[i].data[s * width : (s + unit.length) * width]
         if window != last and members:
             yield members
             members = []
@@ -334,13 +345,9 @@ def _places(source: DataFrame, units: list[Unit]) -> DataFrame:
 def _cutter(length: int, passage: int):
     def covered(size: int, repeats: list[dict], words: bool, width: int) -> np.ndarray:
         """Which units are covered by a window that starts in one of the ranges."""
-        edges = np.zeros(size + 1, np.int32)
-        for found in repeats:
-            if found["words"] == words:
-                starts = np.array(found["starts"])
-                for r in found["ranges"]:
-                    np.add.at(edges, starts + r["begin"], 1)
-                    np.add.at(edges, starts + r["end"] - 1 + width, -1)
+        at = [(start + r["begin"], start + r["end"] - 1 + width) for found in repeats if found["words"] == words for r in found["ranges"] for start in found["starts"]]
+        begin, end = zip(*at) if at else ((), ())
+        edges = np.bincount(np.array(begin, np.int64), minlength=size + 1) - np.bincount(np.array(end, np.int64), minlength=size + 1)
         return np.cumsum(edges)[:-1] > 0
 
     def spans(gone: np.ndarray) -> list[dict]:

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 
-from retrace.llm.words import BASE, mixed
+from retrace.llm.words import BASE, BASE_INVERSE, mixed, powers
 
 
 def gram_hashes(code: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of the k units from each position on, for k a power of two, by doubling."""
-    width, factor = 1, BASE
-    while width < k:
-        code = code[:-width] * np.uint64(factor) + code[width:]
-        width, factor = 2 * width, factor * factor % (1 << 64)
-    return code
+    """A 64-bit hash of the k units from each position on: of a sum with powers of a base, the part of k terms, shifted back."""
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(code * powers(len(code), BASE), out=sums[1:])
+    return (sums[k:] - sums[:-k]) * powers(len(code), BASE_INVERSE)[: len(code) - k + 1]
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

@@ -6,6 +6,8 @@ import numpy as np
 
 # Odd multipliers of the hash functions.
 BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+#: How many powers of a base a worker keeps.
+POWERS_KEPT = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -30,14 +32,22 @@ def byte_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _BYTES[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts], np.int64)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    out = np.ones(max(n, 1), np.uint64)
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; those of usual lengths are kept."""
+    known = _POWERS.get(base)
+    if known is not None and len(known) >= n:
+        return known[:n]
+    out = np.ones(max(n, POWERS_KEPT), np.uint64)
     have, step = 1, base
-    while have < n:
-        more = min(have, n - have)
+    while have < len(out):
+        more = min(have, len(out) - have)
         out[have : have + more] = out[:more] * np.uint64(step)
         have, step = have + more, step * step % (1 << 64)
+    if len(out) == POWERS_KEPT:
+        _POWERS[base] = out
     return out[:n]
 
 
