@@ -37,10 +37,10 @@ PARTS = (
 
 
 def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """``text, label``: n random strings (label 1: hex of either case, base64, letters and digits) and n ordinary ones (label 0).
+    """``text, label``: n random strings (label 1: hex of either case, base64, letters and digits), n identifiers in several styles and n / 8 other
+    ordinary strings (label 0): numbers, dates, rules of one character, letters and digits in their own order.
 
-    Ordinary are identifiers in several styles, numbers, rules of one character, and letters and digits in their own order. Both
-    are made by rule from the row number, so training is repeatable and needs no stored model.
+    All are made by rule from the row number, so training is repeatable and needs no stored model.
     """
     rows = spark.range(n).select(F.col("id"), F.sha2(F.concat(F.lit("s"), F.col("id")), 512).alias("h"))
     b64 = F.base64(F.unhex("h"))
@@ -49,13 +49,17 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     parts = F.array(*[F.lit(p) for p in PARTS])
     pick = lambda i: F.element_at(parts, (F.conv(F.substring("h", 8 * i + 1, 6), 16, 10).cast("long") % len(PARTS) + 1).cast("int"))
     words = F.array(*[pick(i) for i in range(6)])
-    style = F.col("id") % 9
+    style = F.col("id") % 6
+    camel = F.array_join(F.transform(words, lambda w: F.initcap(w)), "")
+    text = F.when(style == 0, F.array_join(words, "_")).when(style == 1, camel).when(style == 2, F.array_join(words, "-")).when(style == 3, F.array_join(words, "/")).when(style == 4, F.concat_ws("_", F.upper(F.array_join(words, "_")), F.col("id").cast("string"))).otherwise(F.array_join(words, ""))
+    names = rows.select(text.alias("text"), F.lit(0).alias("label"))
+    # fewer of the rest, so that names still make up what is ordinary about letters
     number = F.substring(F.regexp_replace("h", "[a-f]", ""), 1, 24)
-    rule = F.repeat(F.substring(F.lit("-=_/+"), (F.floor(F.col("id") / 9) % 5 + 1).cast("int"), F.lit(1)), 40)
+    rule = F.repeat(F.substring(F.lit("-=_/+"), (F.floor(F.col("id") / 32) % 5 + 1).cast("int"), F.lit(1)), 40)
     ordered = F.lit("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
-    camel = F.array_join(F.transform(words, lambda w: F.initcap(w)), "")
-    text = F.when(style == 0, F.array_join(words, "_")).when(style == 1, camel).when(style == 2, F.array_join(words, "-")).when(style == 3, F.array_join(words, "/")).when(style == 4, F.concat_ws("_", F.upper(F.array_join(words, "_")), F.col("id").cast("string"))).when(style == 5, number).when(style == 6, rule).when(style == 7, ordered).otherwise(F.array_join(words, ""))
-    return random.unionByName(rows.select(text.alias("text"), F.lit(0).alias("label")))
+    kind = F.floor(F.col("id") / 8) % 4
+    rest = rows.where("id % 8 = 0").select(F.when(kind == 0, number).when(kind == 1, F.regexp_replace(number, "(....)(..)(..)", "$1-$2-$3-")).when(kind == 2, rule).otherwise(ordered).alias("text"), F.lit(0).alias("label"))
+    return random.unionByName(names).unionByName(rest)
 
 
 def train(samples: DataFrame) -> list[float]:
