@@ -349,8 +349,8 @@ ALWAYS = R.Mapped("acct", "account", ("user_id",), (("value", "value"),), always
 
 
 def replayed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Bound statements that stood, and their row states."""
-    log = statements(spark, sf_dir)
+    """Bound statements that stood, and their row states. The log is that of 16 connections, each ordered by itself."""
+    log = statements(spark, sf_dir, 16)
     stood = fates(log).where("fate = 'COMMITTED'").select("connection", "seq")
     live = with_shapes(log.where("flush IS NOT NULL")).join(stood, ["connection", "seq"])
     rows = R.bound(live, R.mapping_table(spark, [ACCT]))
