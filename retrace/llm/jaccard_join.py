@@ -205,21 +205,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
 
     named = scratch.keep(source.mapInArrow(name_sets, f"doc_id {id_type}, tie long, node long, n long"), "named")
     dealt = scratch.keep(_shared_keys(source.select("text"), words, bands), "dealt")
-    scratch.release()
     shared = scratch.keep(_enough(dealt), "shared")
     scratch.drop("dealt")
     members = scratch.keep(_candidate_sets(source, named, shared, words), "members")
-    scratch.release()
     pairs = shared.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     links = scratch.keep(_verified(pairs, members, percent), "links")
-    scratch.release()
     roots = connected_components(links, scratch, "first")
     across = scratch.keep(_across(shared, roots, members, percent), "across")
-    scratch.release()
     more = scratch.keep(_verified(across, members, percent), "more")
     roots = connected_components(links.unionByName(more), scratch, "second")
     scratch.drop("shared", "links", "more", "across", "members")
-    scratch.release()
 
     full = named.where("n > 0").select("doc_id", "tie", "n", F.struct("node").alias("at"))
     full = full.join(roots.select(F.struct("node").alias("at"), "root"), "at", "left").select("doc_id", "tie", "n", F.struct(F.coalesce("root", "at.node").alias("root")).alias("at"))

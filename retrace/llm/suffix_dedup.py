@@ -94,12 +94,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, passage: int | None = 51,
     parts = partitions_for(docs)
 
     dealt = scratch.keep(_dealt_runs(source, units, parts), "dealt")
-    scratch.release()
     shared = scratch.keep(_shared_runs(dealt), "shared")
     scratch.drop("dealt")
     several = shared.where("kinds > 1")
     sorted_ = scratch.keep(_sorted_buckets(source, several, units, parts), "sorted")
-    scratch.release()
     found = shared.where("kinds = 1").select("c1", "c2", F.array(F.struct(F.lit(0).alias("begin"), F.col("n").alias("end"))).cast(RANGES).alias("ranges"))
     found = found.unionByName(sorted_.where("size(ranges) > 0").select("c1", "c2", "ranges"))
     if not shared.where(F.col("kinds") > BLOCK).isEmpty():
@@ -111,7 +109,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, passage: int | None = 51,
     places = _places(source, units).select(F.struct("c1", "c2").alias("at"), "tie", "words", "starts").join(found, "at")
     spans = scratch.keep(places.groupBy("tie").agg(F.collect_list(F.struct("words", "starts", "ranges")).alias("repeats")), "spans")
     scratch.drop("shared", "sorted", "found")
-    scratch.release()
     return source.join(spans, "tie", "left").select("doc_id", "text", "repeats").mapInArrow(_cutter(length, passage or 0), f"doc_id {id_type}, n_bytes long, n_removed long, spans {RANGES}, kept binary, passages {RANGES}")
 
 
