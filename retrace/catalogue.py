@@ -638,3 +638,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["flagship"] = flagship
+ORACLE_SQL["flagship"] = f"""{REPLAY},
+  raw AS (SELECT v.seq, v.user_id, CASE v.event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'remove' ELSE 'update' END AS event, CASE WHEN v.event_id % 11 = 0 THEN 'system' ELSE 'u-' || CAST(v.event_id % 5 AS VARCHAR) END AS actor,
+    strftime(ts, '%Y-%m-%d') AS day, CASE WHEN v.event_type = 'signup' THEN 'null' ELSE CAST(old AS VARCHAR) END AS o, CAST(v.value AS VARCHAR) AS n FROM v JOIN events ON events.event_id = v.event_id WHERE v.event_type IN ('signup', 'error') OR old <> v.value),
+  b AS (SELECT *, CASE WHEN lag(event) OVER w IS NULL OR lag(event) OVER w = 'remove' OR event = 'remove' OR actor <> lag(actor) OVER w THEN 1 ELSE 0 END AS brk FROM raw WINDOW w AS (PARTITION BY day, user_id ORDER BY seq)),
+  s AS (SELECT *, sum(brk) OVER (PARTITION BY day, user_id ORDER BY seq) AS seg FROM b),
+  m AS (SELECT day, arg_min(actor, seq) AS actor, arg_min(event, seq) AS event, arg_min(o, seq) AS o, arg_max(n, seq) AS n FROM s GROUP BY day, user_id, seg)
+  SELECT day, actor, count(*) AS records FROM m WHERE event <> 'update' OR o <> n GROUP BY 1, 2"""
