@@ -51,9 +51,14 @@ def bound(statements: DataFrame, mapping: DataFrame) -> DataFrame:
     """Statements (with shape, params, affected, generated_key) and the row they are bound to.
 
     ``binding`` is ROW with its key, ROWS_OF_OWNER with the owner, or UNBOUND with a reason. ``set`` has what is assigned, as JSON text; an
-    expression is null. An unmapped table is left out; unreadable statements stay, unbound.
+    expression is null. An unmapped table is left out. Of unreadable statements those stay, unbound, that may write a mapped table, once for
+    each, or any table at all.
     """
-    out = statements.join(mapping, F.lower(F.element_at(F.split("shape.table_name", r"\."), -1)) == F.col("mapped"), "left").where(F.col("mapped").isNotNull() | F.col("shape").isNull())
+    last = lambda name: F.lower(F.element_at(F.split(name, r"\."), -1))
+    written = F.col("written") if "written" in statements.columns else F.lit(None).cast("array<string>")
+    names = F.when(F.col("shape").isNotNull(), F.array(last(F.col("shape.table_name")))).otherwise(F.array_distinct(F.transform(written, last)))
+    anywhere = F.col("shape").isNull() & written.isNull()
+    out = statements.withColumn("_name", F.explode_outer(names)).join(mapping, F.col("_name") == F.col("mapped"), "left").where(F.col("mapped").isNotNull() | anywhere)
     param = lambda i: F.get(F.col("params"), i)
     values = F.transform_values("shape.assigned", lambda _, i: F.when(i.isNotNull(), param(i)))
     where = F.transform_values("shape.where", lambda _, i: param(i))

@@ -204,6 +204,13 @@ def test_replay(spark):
     assert [(r["valid_from"], r["row"]["status"]) for r in replay.versions(states).where("key = '5'").orderBy("valid_from").collect()][-1] == (5, '"sent"')
 
 
+def test_unreadable_statements(spark):
+    """What can't be read is a doubt about the tables it names, about any if it names none, and nothing if it doesn't write."""
+    texts = ["INSERT INTO orders SELECT * FROM other", "INSERT INTO elsewhere SELECT * FROM orders", "CREATE TABLE orders (id int)", "UPDATE orders, line SET qty = 1", "TRUNCATE TABLE shop.Line"]
+    rows = bound_rows(spark, [(i, 1, sql, [], None, None) for i, sql in enumerate(texts)])
+    assert sorted((r["seq"], r["root"] or "") for r in replay.doubts(rows, replay.row_states(rows.where("binding = 'ROW'"))).collect()) == [(0, "orders"), (3, ""), (4, "line")]
+
+
 def test_elements(spark):
     insert = "INSERT INTO line (order_id, pos, qty) VALUES (?, ?, ?)"
     rows = bound_rows(spark, [(1, 1, insert, ["5", "1", "10"], 1, None), (2, 1, insert, ["5", "2", "20"], 1, None), (3, 2, "UPDATE line SET qty = ? WHERE order_id = ? AND pos = ?", ["11", "5", "1"], 1, None), (4, 3, "DELETE FROM line WHERE order_id = ?", ["5"], 2, None), (5, 3, "DELETE FROM line WHERE order_id = ?", ["6"], 4, None)])
