@@ -97,10 +97,10 @@ def keyed(df: DataFrame, kind: str, body: Mapping[str, Any], name: str, outer: l
     if kind in ("range", "date_range", "ip_range"):
         value = col(body["field"])
         if kind == "ip_range":
-            value = ip_number(value)
+            value = ip_key(value)
         found = []
         for r in body["ranges"]:
-            ends = [e if kind != "ip_range" else ip_number(F.lit(e)) for e in (r.get("from"), r.get("to")) if e is not None]
+            ends = [e if kind != "ip_range" else ip_key(F.lit(e)) for e in (r.get("from"), r.get("to")) if e is not None]
             ends = iter(ends)
             inside = value.isNotNull()
             if r.get("from") is not None:
@@ -170,13 +170,19 @@ def keyed(df: DataFrame, kind: str, body: Mapping[str, Any], name: str, outer: l
     raise InvalidQuery(f"the aggregation {kind} is not allowed")
 
 
-def ip_number(text: Column) -> Column:
-    """An IPv4 address as a number; null for what is none."""
-    parts = F.split(text, "\\.")
-    n = F.lit(0).cast("long")
-    for i in range(4):
-        n = n * 256 + F.get(parts, F.lit(i)).try_cast("long")
-    return n
+def ip_key(text: Column) -> Column:
+    """An address as 32 hexadecimal digits, which stand in the order of addresses; null for what is none. IPv4 ones are mapped into IPv6."""
+    octets = F.transform(F.split(text, "\\."), lambda x: x.cast("int"))
+    four = text.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$")
+    key4 = F.when(F.forall(octets, lambda x: x <= 255), F.concat(F.lit("0" * 20 + "ffff"), F.array_join(F.transform(octets, lambda x: F.lower(F.lpad(F.hex(x), 2, "0"))), "")))
+    halves = F.split(F.lower(text), "::")
+    groups = lambda half: F.filter(F.split(half, ":"), lambda x: x != "")
+    left = groups(F.get(halves, F.lit(0)))
+    right = F.coalesce(groups(F.get(halves, F.lit(1))), F.array().cast("array<string>"))
+    short = F.lit(8) - F.size(left) - F.size(right)
+    full = F.when((F.size(halves) == 2) & (short >= 1), F.concat(left, F.array_repeat(F.lit("0"), short), right)).when((F.size(halves) == 1) & (F.size(left) == 8), left)
+    key6 = F.when(text.rlike("^[0-9a-fA-F:]+$") & F.forall(full, lambda x: F.length(x) <= 4), F.array_join(F.transform(full, lambda x: F.lpad(x, 4, "0")), ""))
+    return F.when(four, key4).otherwise(key6)
 
 
 def metric_columns(name: str, kind: str, body: Mapping[str, Any]) -> dict[str, Column]:

@@ -5,7 +5,10 @@ from datetime import datetime
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from retrace.errors import InvalidQuery
+from retrace.operators import aggs
 from retrace.plans.query import Cursor, Filter
 from retrace.plans.query import HistoryQuery as Q
 from retrace.plans.reader import Limits, Reader, hydrate
@@ -163,3 +166,39 @@ def test_search_after_follows_the_sort(spark):
         assert met == whole and len(met) == 20
     with pytest.raises(InvalidQuery):
         r.raw(Q.any(), {"sort": [("a", "asc")], "search_after": [1, 2]})
+
+
+def test_ip_range(spark):
+    import ipaddress
+
+    texts = ["10.0.0.1", "10.0.1.0", "192.168.0.256", "::1", "2001:db8::", "2001:db8::ff:1", "fe80:0:0:0:0:0:0:1", "no address", "1::2::3", "::", None, "255.255.255.255", "2001:db8:0:0:0:0:0:0:1", "12345::"]
+    df = spark.createDataFrame([(t,) for t in texts], "ip string")
+
+    def number(t):
+        try:
+            a = ipaddress.ip_address(t)
+        except ValueError:
+            return None
+        return int(a) if a.version == 6 else (0xFFFF << 32) + int(a)
+
+    assert [None if r[0] is None else int(r[0], 16) for r in df.select(aggs.ip_key(F.col("ip"))).collect()] == [None if t is None else number(t) for t in texts]
+    got = aggs.aggregate(df, {"net": {"ip_range": {"field": "ip", "ranges": [{"from": "10.0.0.0", "to": "10.0.1.0"}, {"from": "2001:db8::", "key": "six"}, {"to": "::2"}]}}})["net"].collect()
+    assert {r["net"]: r["doc_count"] for r in got} == {"10.0.0.0-10.0.1.0": 1, "six": 3, "*-::2": 2}
+
+
+def test_nested_geo_and_moving(spark):
+    rows = [("1", 1, [("a", 1.0, 10.0), ("b", 3.0, 30.0)]), ("2", 2, [("a", 5.0, -20.0)]), ("3", 3, []), ("4", 4, [("b", 2.0, 5.0), ("b", 4.0, 7.0)])]
+    df = spark.createDataFrame(rows, "id string, day int, lines array<struct<kind:string,lat:double,lon:double>>")
+    out = aggs.aggregate(df, {"lines": {"nested": {"path": "lines"}, "aggs": {"kind": {"terms": {"field": "kind"}, "aggs": {"records": {"reverse_nested": {}}}}, "mean": {"avg": {"field": "lat"}}}}})
+    assert (out["lines"].first()["doc_count"], out["lines"].first()["mean"]) == (5, 3.0)
+    assert {r["kind"]: r["doc_count"] for r in out["lines>kind"].collect()} == {"a": 2, "b": 3}
+    assert {r["kind"]: r["doc_count"] for r in out["lines>kind>records"].collect()} == {"a": 2, "b": 2}
+    flat = df.selectExpr("id", "inline(lines)")
+    box = aggs.aggregate(flat, {"box": {"geo_bounds": {"lat": "lat", "lon": "lon"}}, "middle": {"geo_centroid": {"lat": "lat", "lon": "lon"}}})
+    found = {k: v for t in {id(x): x for x in box.values()}.values() for k, v in t.first().asDict().items()}
+    assert (found["box_top"], found["box_bottom"], found["box_left"], found["box_right"], found["middle_lat"], found["middle_lon"]) == (5.0, 1.0, -20.0, 30.0, 3.0, 6.4)
+    moving = aggs.aggregate(df, {"day": {"histogram": {"field": "day", "interval": 1}, "aggs": {"most": {"max": {"field": "day"}}, "p": {"moving_percentiles": {"buckets_path": "most", "window": 2, "percents": [50, 100]}}}}})["day"]
+    assert [r["p"] for r in moving.orderBy("day").collect()] == [None, [1, 1], [1, 2], [2, 3]]
+    wide = spark.createDataFrame([(float(x),) for x in [1, 2, 1, 100, 101, 102, 1]], "x double")
+    bars = aggs.aggregate(wide, {"bar": {"variable_width_histogram": {"field": "x", "buckets": 2}}})["bar"].collect()
+    assert sorted(r["doc_count"] for r in bars) == [3, 4]
