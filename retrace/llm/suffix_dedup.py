@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from itertools import groupby
 from typing import NamedTuple
@@ -19,11 +20,11 @@ from retrace.llm.windows import minimizer_runs
 from retrace.llm.words import BASE, byte_codes, mixed, word_hashes
 
 #: Runs a worker gathers before it merges equal ones, contexts of one suffix array at most, units at which small buckets stop sharing one.
-RUNS_AT_ONCE, BLOCK, UNITS_TOGETHER = 300_000, 512, 48_000
+RUNS_AT_ONCE, BLOCK, UNITS_TOGETHER = 300_000, 512, 12_000
 #: From so many distinct runs in one deal, a key is known to be shared, and its runs are dealt out one by one.
 HOT = 16
 #: Parts into which the places of a minimizer in a window are cut, to see which runs of a bucket may share a window at all.
-SLICES = 8
+SLICES = 16
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 RANGES = "array<struct<begin:int,end:int>>"
 RANGES_ARROW = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
@@ -107,9 +108,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, passage: int | None = 51,
         found = found.unionByName(more)
     found = scratch.keep(found.select(F.struct("c1", "c2").alias("at"), "ranges"), "found")
     places = _places(source, units).select(F.struct("c1", "c2").alias("at"), "tie", "words", "starts").join(found, "at")
-    spans = scratch.keep(places.groupBy("tie").agg(F.collect_list(F.struct("words", "starts", "ranges")).alias("repeats")), "spans")
+    every = lambda of: F.flatten(F.transform("starts", lambda s: F.transform("ranges", lambda r: s + of(r))))
+    places = places.select("tie", "words", every(lambda r: r["begin"]).alias("begin"), every(lambda r: r["end"] - 1 + F.when(F.col("words"), F.lit(passage or 0)).otherwise(F.lit(length))).alias("end"))
+    both = [F.flatten(F.collect_list(F.when(F.col("words") == words, F.col(side)))).alias(f"{side}_{words}") for words in (False, True) for side in ("begin", "end")]
+    spans = scratch.keep(places.groupBy("tie").agg(*both), "spans")
     scratch.drop("shared", "sorted", "found")
-    return source.join(spans, "tie", "left").select("doc_id", "text", "repeats").mapInArrow(_cutter(length, passage or 0), f"doc_id {id_type}, n_bytes long, n_removed long, spans {RANGES}, kept binary, passages {RANGES}")
+    return source.join(spans, "tie", "left").select("doc_id", "text", *[f"{side}_{words}" for words in (False, True) for side in ("begin", "end")]).mapInArrow(_cut, f"doc_id {id_type}, n_bytes long, n_removed long, spans {RANGES}, kept binary, passages {RANGES}")
 
 
 def _dealt_runs(source: DataFrame, units: list[Unit], parts: int) -> DataFrame:
@@ -202,6 +206,14 @@ def _sorted_buckets(source: DataFrame, several: DataFrame, units: list[Unit], pa
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*out), fields)], [n for n, _ in fields])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # many small lists and no cycles: the collector would only look through them again and again
+        gc.disable()
+        try:
+            yield from in_order(batches)
+        finally:
+            gc.enable()
+
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = (Run(*row) for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
         for words, rows in groupby(each, key=lambda r: r.words):
             unit, held, size = by[words], [], 0
@@ -339,29 +351,51 @@ def _places(source: DataFrame, units: list[Unit]) -> DataFrame:
     return source.select("tie", "text").mapInArrow(find, "tie long, words boolean, c1 long, c2 long, starts array<int>")
 
 
-def _cutter(length: int, passage: int):
-    def covered(size: int, repeats: list[dict], words: bool, width: int) -> np.ndarray:
-        """Which units are covered by a window that starts in one of the ranges."""
-        at = [(start + r["begin"], start + r["end"] - 1 + width) for found in repeats if found["words"] == words for r in found["ranges"] for start in found["starts"]]
-        begin, end = zip(*at) if at else ((), ())
-        edges = np.bincount(np.array(begin, np.int64), minlength=size + 1) - np.bincount(np.array(end, np.int64), minlength=size + 1)
-        return np.cumsum(edges)[:-1] > 0
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of id, text, and where repeated strings and passages begin and end, to the columns of the result."""
+    for batch in batches:
+        texts = [t.encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
+        found = [_lists(batch.column(c)) for c in range(2, 6)]
+        kept, removed, spans, passages = [], [], [], []
+        for i, data in enumerate(texts):
+            begin, end, word_begin, word_end = (x[i] for x in found)
+            if len(begin):
+                gone = _covered(len(data), begin, end)
+                removed.append(int(gone.sum()))
+                kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
+                spans.append(_edges(gone))
+            else:
+                removed.append(0)
+                kept.append(data)
+                spans.append(NOTHING)
+            passages.append(_edges(_covered(int(word_end.max()), word_begin, word_end)) if len(word_begin) else NOTHING)
+        arrays = [pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), _ranges(spans), pa.array(kept, pa.binary()), _ranges(passages)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "passages"])
 
-    def spans(gone: np.ndarray) -> list[dict]:
-        return [{"begin": int(a), "end": int(b)} for a, b in np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))).reshape(-1, 2)]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, repeats in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = text.encode("utf-8", "replace")
-                if not repeats:
-                    rows.append((len(data), 0, [], data, []))
-                    continue
-                gone = covered(len(data), repeats, False, length)
-                last = max((max(f["starts"]) + max(r["end"] for r in f["ranges"]) + passage for f in repeats if f["words"]), default=0)
-                rows.append((len(data), int(gone.sum()), spans(gone), np.frombuffer(data, np.uint8)[~gone].tobytes(), spans(covered(last, repeats, True, passage))))
-            columns = list(zip(*rows)) or [(), (), (), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), RANGES_ARROW, pa.binary(), RANGES_ARROW))]], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "passages"])
-
-    return cut
+NOTHING = np.zeros((0, 2), np.int32)
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column as arrays, a null one as an empty one."""
+    lengths = np.asarray(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    values = column.flatten().to_numpy(zero_copy_only=False)  # without what stands behind nulls
+    return np.split(values, np.cumsum(lengths)[:-1]) if len(lengths) else []
+
+
+def _covered(size: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of ``size`` units lie in one of the spans."""
+    return np.cumsum(np.bincount(begin, minlength=size + 1) - np.bincount(end, minlength=size + 1))[:size] > 0
+
+
+def _edges(marks: np.ndarray) -> np.ndarray:
+    """Begin and end of each run of marked units, a row per run."""
+    return np.flatnonzero(np.diff(np.concatenate(([False], marks, [False])).astype(np.int8))).astype(np.int32).reshape(-1, 2)
+
+
+def _ranges(rows: list[np.ndarray]) -> pa.Array:
+    """A list of ranges for each row."""
+    flat = np.concatenate([NOTHING, *rows])
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, 0]), pa.int32()), pa.array(np.ascontiguousarray(flat[:, 1]), pa.int32())], ["begin", "end"])
+    return pa.ListArray.from_arrays(pa.array(offsets), pairs)
